@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import sentencepiece_agenda
-from tidewire.llm.shared import read
+from tidewire.llm import oracles, sentencepiece_agenda, weak_supervision
+from tidewire.llm.shared import read, saved
 
 
 def piece_model_bytes() -> bytes:
@@ -16,11 +16,17 @@ def piece_model_bytes() -> bytes:
         return f.read()
 
 
+def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    featured, names = weak_supervision.features(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = weak_supervision.judged(saved(featured.drop("text"), "quality-features"), names)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_agenda.digests(docs, piece_model_bytes())
 
 
-QUERIES = {"op9_sentencepiece": op9_sentencepiece}
+QUERIES = {"op7_weak_supervision": op7_weak_supervision, "op9_sentencepiece": op9_sentencepiece}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_weak_supervision": oracles.quality_sql()}
