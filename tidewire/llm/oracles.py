@@ -58,3 +58,26 @@ patterns as materialized (select {names}, count(*) as n from voted group by {nam
 scored as (select t.*, {posterior(f"m{rounds}")} as p_good, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from voted t, m{rounds})
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and p_good >= 0.5 as kept, round(p_good, 6) as p_good
 from scored"""
+
+
+URLS = r"""
+with u as (
+  select page_id, coalesce(url, '') as url,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
+  from pages),
+r as (
+  select *, case
+    when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+    when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+    when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule,
+    regexp_matches(lower(url), '://([a-z0-9-]+\.)*[a-z0-9-]+\.edu(/|$|\?|#|:)') as allowed,
+    regexp_matches(lower(url), '(^|[^a-z0-9])(cheap[-_.]pills|free[-_.]casino|online[-_.]casino|win[-_.]money|adult[-_.]video|hot[-_.]singles|payday[-_.]loan|porn|xxx)($|[^a-z0-9])')
+      or regexp_matches(lower(url), '/(redirect|out|click)\?([^#]*&)?(url|to|target)=https?(:|%3a)')
+      or regexp_matches(lower(url), '[?&;](phpsessid|jsessionid)=[a-z0-9]{8,}') as blocked
+  from u)
+select page_id, host, path, rule, case
+    when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+    when allowed then 'allow' when blocked then 'block' else 'allow' end as verdict
+from r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import oracles, sentencepiece_agenda, weak_supervision
+from tidewire.llm import oracles, sentencepiece_agenda, url_rules, weak_supervision
 from tidewire.llm.shared import read, saved
 
 
@@ -16,6 +16,10 @@ def piece_model_bytes() -> bytes:
         return f.read()
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     featured, names = weak_supervision.features(read(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = weak_supervision.judged(saved(featured.drop("text"), "quality-features"), names)
@@ -27,6 +31,6 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_agenda.digests(docs, piece_model_bytes())
 
 
-QUERIES = {"op7_weak_supervision": op7_weak_supervision, "op9_sentencepiece": op9_sentencepiece}
+QUERIES = {"op6_url_rules": op6_url_rules, "op7_weak_supervision": op7_weak_supervision, "op9_sentencepiece": op9_sentencepiece}
 
-ORACLE_SQL: dict[str, str] = {"op7_weak_supervision": oracles.quality_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_url_rules": oracles.URLS, "op7_weak_supervision": oracles.quality_sql()}
