@@ -81,3 +81,24 @@ select page_id, host, path, rule, case
     when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
     when allowed then 'allow' when blocked then 'block' else 'allow' end as verdict
 from r"""
+
+
+MIX = r"""
+with d as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '')) as h
+  from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+r as (select *, row_number() over (order by source nulls last) - 1 as slot from s),
+w as (select *, case slot % 3 when 0 then 3.0::double when 1 then 1.0::double else 2.0::double end as weight, 2.0::double * source_size as cap from r),
+l as (
+  select *, (1.5::double * (sum(source_size) over ()) - coalesce(sum(cap) over lower, 0)) / (sum(weight) over () - coalesce(sum(weight) over lower, 0)) as level
+  from w window lower as (order by cap / weight, slot rows between unbounded preceding and 1 preceding)),
+f as (select level from l where cap > weight * level order by cap / weight, slot limit 1),
+t as (select source, source_size, case when cap <= weight * level then cap else weight * (select level from f) end as target from l),
+c as (
+  select d.*, t.source_size, t.target, cast(round(t.target) as bigint) as want,
+    coalesce(sum(size) over (partition by d.source order by h, size rows between unbounded preceding and 1 preceding), 0) as start
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+  cast(greatest(0, least(size, want - start)) + greatest(0, least(size, want - source_size - start)) as bigint) as taken
+from c"""

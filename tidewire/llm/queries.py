@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import oracles, sentencepiece_agenda, url_rules, weak_supervision
+from tidewire.llm import curriculum, oracles, sentencepiece_agenda, url_rules, weak_supervision
 from tidewire.llm.shared import read, saved
 
 
@@ -26,11 +26,16 @@ def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = curriculum.planned(read(spark, sf_dir, "documents").select("doc_id", "source", F.col("text")))
+    return rows.select("doc_id", *[F.col(names[c]).alias(c) for c in ("size", "source_size", "target", "taken")])
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_agenda.digests(docs, piece_model_bytes())
 
 
-QUERIES = {"op6_url_rules": op6_url_rules, "op7_weak_supervision": op7_weak_supervision, "op9_sentencepiece": op9_sentencepiece}
+QUERIES = {"op6_url_rules": op6_url_rules, "op7_weak_supervision": op7_weak_supervision, "op8_curriculum": op8_curriculum, "op9_sentencepiece": op9_sentencepiece}
 
-ORACLE_SQL: dict[str, str] = {"op6_url_rules": oracles.URLS, "op7_weak_supervision": oracles.quality_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_url_rules": oracles.URLS, "op7_weak_supervision": oracles.quality_sql(), "op8_curriculum": oracles.MIX}
