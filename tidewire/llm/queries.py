@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import curriculum, oracles, sentencepiece_agenda, url_rules, weak_supervision
-from tidewire.llm.shared import read, saved
+from tidewire.llm import compression_quality, curriculum, oracles, sentencepiece_agenda, url_rules, weak_supervision
+from tidewire.llm.shared import forget, read, saved
 
 
 def piece_model_bytes() -> bytes:
@@ -16,6 +16,21 @@ def piece_model_bytes() -> bytes:
         return f.read()
 
 
+def held_out() -> Column:
+    """Rows from which nothing is learned: those whose crc32 of the id as text leaves 2 when divided by 4."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(~held_out()).filter("label is not null")
+    learn = compression_quality.labelled(docs.filter(~F.col("held_out")).drop("held_out"), labels)
+    model = compression_quality.fit(learn)
+    forget(learn)
+    rows = compression_quality.scored(docs, model)
+    return rows.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -36,6 +51,6 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_agenda.digests(docs, piece_model_bytes())
 
 
-QUERIES = {"op6_url_rules": op6_url_rules, "op7_weak_supervision": op7_weak_supervision, "op8_curriculum": op8_curriculum, "op9_sentencepiece": op9_sentencepiece}
+QUERIES = {"op6_url_rules": op6_url_rules, "op7_weak_supervision": op7_weak_supervision, "op8_curriculum": op8_curriculum, "op9_sentencepiece": op9_sentencepiece, "op10_compression": op10_compression}
 
 ORACLE_SQL: dict[str, str] = {"op6_url_rules": oracles.URLS, "op7_weak_supervision": oracles.quality_sql(), "op8_curriculum": oracles.MIX}
