@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import compression_quality, curriculum, oracles, sentencepiece_agenda, simhash, suffix_merge, url_rules, weak_supervision
+from tidewire.llm import compression_quality, crf_language, curriculum, oracles, sentencepiece_agenda, simhash, suffix_merge, url_rules, weak_supervision
 from tidewire.llm.shared import forget, read, saved
 
 
@@ -31,6 +31,12 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def op4_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    model = crf_language.fit(docs.filter(~F.col("held_out")))
+    return crf_language.labelled(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(~held_out()).filter("label is not null")
@@ -61,6 +67,6 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_agenda.digests(docs, piece_model_bytes())
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_suffix_merge": op3_suffix_merge, "op6_url_rules": op6_url_rules, "op7_weak_supervision": op7_weak_supervision, "op8_curriculum": op8_curriculum, "op9_sentencepiece": op9_sentencepiece, "op10_compression": op10_compression}
+QUERIES = {"op2_simhash": op2_simhash, "op3_suffix_merge": op3_suffix_merge, "op4_crf": op4_crf, "op6_url_rules": op6_url_rules, "op7_weak_supervision": op7_weak_supervision, "op8_curriculum": op8_curriculum, "op9_sentencepiece": op9_sentencepiece, "op10_compression": op10_compression}
 
 ORACLE_SQL: dict[str, str] = {"op6_url_rules": oracles.URLS, "op7_weak_supervision": oracles.quality_sql(), "op8_curriculum": oracles.MIX}
