@@ -102,3 +102,25 @@ c as (
 select doc_id, size, source_size, target,
   cast(greatest(0, least(size, want - start)) + greatest(0, least(size, want - source_size - start)) as bigint) as taken
 from c"""
+
+
+LINES = r"""
+with d as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
+l as (
+  select doc_id, cast(i as bigint) as i, trim(lines[i], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) as line
+  from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from d) where regexp_matches(lines[i], '[^\x20\x09-\x0D]')),
+s as (select *, row_number() over (partition by doc_id order by i) as pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from l),
+v as (
+  select t.k, s.doc_id, s.pos, string_agg(o.line, chr(10) order by o.pos) as body, sum(o.n) as n
+  from s, (values (1), (2), (3), (4)) as t(k), s as o
+  where o.doc_id = s.doc_id and o.pos between s.pos and s.pos + t.k - 1 group by t.k, s.doc_id, s.pos having count(*) = t.k),
+later as (
+  select * from (select *, row_number() over (partition by k, body order by doc_id, pos) as nth from v) where nth > 1 and (k = 4 or n >= 50)),
+gone as (
+  select doc_id, list_sort(list(distinct s.i)) as gone, list_sort(list(distinct s.pos)) as spots from (select doc_id, unnest(range(pos, pos + k)) as pos from later) x
+  join s using (doc_id, pos) group by doc_id),
+r as (select d.*, coalesce(gone, []) as gone, coalesce(spots, []) as spots from d left join gone using (doc_id))
+select doc_id, cast(coalesce(len(lines), 0) as bigint) as n_lines, cast(len(gone) as bigint) as n_removed,
+  cast(len(list_filter(spots, lambda p: not list_contains(spots, p - 1))) as bigint) as n_runs,
+  sha256(array_to_string(list_filter(lines, lambda x, i: not list_contains(gone, i)), chr(10))) as kept_sha256
+from r"""

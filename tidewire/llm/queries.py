@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import compression_quality, crf_language, curriculum, oracles, sentencepiece_agenda, simhash, suffix_merge, url_rules, weak_supervision
+from tidewire.llm import compression_quality, crf_language, curriculum, line_runs, oracles, sentencepiece_agenda, simhash, suffix_merge, url_rules, weak_supervision
 from tidewire.llm.shared import forget, read, saved
 
 
@@ -37,6 +37,11 @@ def op4_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_language.labelled(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_runs.without_later_copies(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "lines.n_lines", "lines.n_removed", "lines.n_runs", F.sha2("lines.kept", 256).alias("kept_sha256"))
+
+
 def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(~held_out()).filter("label is not null")
@@ -67,6 +72,6 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_agenda.digests(docs, piece_model_bytes())
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_suffix_merge": op3_suffix_merge, "op4_crf": op4_crf, "op6_url_rules": op6_url_rules, "op7_weak_supervision": op7_weak_supervision, "op8_curriculum": op8_curriculum, "op9_sentencepiece": op9_sentencepiece, "op10_compression": op10_compression}
+QUERIES = {"op2_simhash": op2_simhash, "op3_suffix_merge": op3_suffix_merge, "op4_crf": op4_crf, "op5_line_runs": op5_line_runs, "op6_url_rules": op6_url_rules, "op7_weak_supervision": op7_weak_supervision, "op8_curriculum": op8_curriculum, "op9_sentencepiece": op9_sentencepiece, "op10_compression": op10_compression}
 
-ORACLE_SQL: dict[str, str] = {"op6_url_rules": oracles.URLS, "op7_weak_supervision": oracles.quality_sql(), "op8_curriculum": oracles.MIX}
+ORACLE_SQL: dict[str, str] = {"op5_line_runs": oracles.LINES, "op6_url_rules": oracles.URLS, "op7_weak_supervision": oracles.quality_sql(), "op8_curriculum": oracles.MIX}
