@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import compression_quality, crf_language, curriculum, line_runs, oracles, sentencepiece_agenda, simhash, suffix_merge, url_rules, weak_supervision
+from tidewire.llm import compression_quality, crf_language, curriculum, line_runs, oracles, permutation_index, sentencepiece_agenda, simhash, suffix_merge, url_rules, weak_supervision
 from tidewire.llm.shared import forget, read, saved
 
 
@@ -16,6 +16,11 @@ def piece_model_bytes() -> bytes:
         return f.read()
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = permutation_index.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return rows.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.grouped(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -72,6 +77,6 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_agenda.digests(docs, piece_model_bytes())
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_suffix_merge": op3_suffix_merge, "op4_crf": op4_crf, "op5_line_runs": op5_line_runs, "op6_url_rules": op6_url_rules, "op7_weak_supervision": op7_weak_supervision, "op8_curriculum": op8_curriculum, "op9_sentencepiece": op9_sentencepiece, "op10_compression": op10_compression}
+QUERIES = {"op1_permutation_index": op1_permutation_index, "op2_simhash": op2_simhash, "op3_suffix_merge": op3_suffix_merge, "op4_crf": op4_crf, "op5_line_runs": op5_line_runs, "op6_url_rules": op6_url_rules, "op7_weak_supervision": op7_weak_supervision, "op8_curriculum": op8_curriculum, "op9_sentencepiece": op9_sentencepiece, "op10_compression": op10_compression}
 
 ORACLE_SQL: dict[str, str] = {"op5_line_runs": oracles.LINES, "op6_url_rules": oracles.URLS, "op7_weak_supervision": oracles.quality_sql(), "op8_curriculum": oracles.MIX}
