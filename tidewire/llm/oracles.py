@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 
-def quality_sql(rounds: int = 12, prior: float = 20.0, share: float = 0.8, agree: float = 0.7) -> str:
+def quality_sql(rounds: int = 12, prior: float = 20.0, share: float = 0.8) -> str:
     """Features, vote patterns, and expectation-maximisation unrolled into one step a round."""
     votes = (
         ("n_symbols * 10 > n_words", "n_symbols * 50 <= n_words"),
+        ("n_symbols * 4 > n_words", "n_symbols * 100 <= n_words"),
         ("n_repeat_words * 5 > n_words", "n_repeat_words * 20 <= n_words"),
         ("n_upper * 2 > n_letters", "n_upper * 5 <= n_letters"),
         ("n_exclaims * 5 > n_words", "n_exclaims * 20 <= n_words"),
-        ("n_dup_lines * 3 > n_lines", "n_dup_lines = 0"),
+        ("n_dup_lines * 2 > n_lines", "n_dup_lines = 0"),
         ("word_chars < 2 * n_words or word_chars > 20 * n_words", "word_chars between 3 * n_words and 12 * n_words"),
-        ("n_letters * 10 < word_chars * 6", "n_letters * 10 >= word_chars * 8"),
+        ("n_letters * 2 < word_chars", "n_letters * 10 >= word_chars * 8"),
     )
     k = range(len(votes))
-    rest = 1 - agree
-    good, bad = [rest / 3, rest * 2 / 3, agree], [agree, rest * 2 / 3, rest / 3]
+    good, bad = [0.01, 0.14, 0.85], [0.2, 0.1, 0.7]
     cast = lambda xs: "[" + ", ".join(f"cast({x!r} as double)" for x in xs) + "]"
 
     def posterior(model: str) -> str:

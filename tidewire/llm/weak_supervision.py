@@ -24,20 +24,24 @@ from tidewire.llm.shared import forget, free_name, saved, words
 
 #: Words of a window in which repetition counts.
 WINDOW = 8
-#: Rounds of expectation-maximisation, and the start: the share of good texts, and the rate of votes that agree with the class.
-ROUNDS, GOOD_SHARE, AGREE = 12, 0.8, 0.7
+#: Rounds of expectation-maximisation, and the start: the share of good texts, and how often a rule votes bad, abstains and
+#: votes good on texts of either class. Each rule sees one kind of bad text, so on bad texts most rules still vote good; what
+#: tells the classes apart at first is that a bad vote is rare on good texts.
+ROUNDS, GOOD_SHARE = 12, 0.8
+START = {"good": (0.01, 0.14, 0.85), "bad": (0.2, 0.1, 0.7)}
 #: Pseudo-counts in each rate, which keep rates off 0 and 1 and tie them to the start while a corpus is small.
 PRIOR = 20.0
 
 #: Each rule: name, when it votes bad, when it votes good, over the features f; a rule whose two conditions fail abstains.
 RULES = (
     ("symbols", lambda f: f["n_symbols"] * 10 > f["n_words"], lambda f: f["n_symbols"] * 50 <= f["n_words"]),
+    ("many_symbols", lambda f: f["n_symbols"] * 4 > f["n_words"], lambda f: f["n_symbols"] * 100 <= f["n_words"]),
     ("repeats", lambda f: f["n_repeat_words"] * 5 > f["n_words"], lambda f: f["n_repeat_words"] * 20 <= f["n_words"]),
     ("capitals", lambda f: f["n_upper"] * 2 > f["n_letters"], lambda f: f["n_upper"] * 5 <= f["n_letters"]),
     ("marks", lambda f: f["n_exclaims"] * 5 > f["n_words"], lambda f: f["n_exclaims"] * 20 <= f["n_words"]),
-    ("dup_lines", lambda f: f["n_dup_lines"] * 3 > f["n_lines"], lambda f: f["n_dup_lines"] == 0),
+    ("dup_lines", lambda f: f["n_dup_lines"] * 2 > f["n_lines"], lambda f: f["n_dup_lines"] == 0),
     ("word_length", lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 20 * f["n_words"]), lambda f: f["word_chars"].between(3 * f["n_words"], 12 * f["n_words"])),
-    ("letters", lambda f: f["n_letters"] * 10 < f["word_chars"] * 6, lambda f: f["n_letters"] * 10 >= f["word_chars"] * 8),
+    ("letters", lambda f: f["n_letters"] * 2 < f["word_chars"], lambda f: f["n_letters"] * 10 >= f["word_chars"] * 8),
 )
 
 
@@ -108,10 +112,8 @@ def votes(featured: DataFrame, names: dict[str, str]) -> Column:
 
 
 def start_model() -> dict:
-    """Vote rates before any data: a rule agrees with the class, abstains or disagrees."""
-    rest = 1 - AGREE
-    rates = {"good": (rest / 3, rest * 2 / 3, AGREE), "bad": (AGREE, rest * 2 / 3, rest / 3)}
-    return {"share": GOOD_SHARE} | {kind: [rates[kind]] * len(RULES) for kind in rates}
+    """Vote rates before any data."""
+    return {"share": GOOD_SHARE} | {kind: [rates] * len(RULES) for kind, rates in START.items()}
 
 
 def posterior(pattern: Column, model: dict) -> Column:
