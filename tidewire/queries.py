@@ -354,9 +354,9 @@ def _types(spark):
     return spark.createDataFrame(TYPES, "id long, keywords array<string>")
 
 
-@query(f"select p_partkey, cast({_TYPE.format('p_name')} as bigint) as event_type_id from part")
+@query(f"select p_partkey, coalesce(cast({_TYPE.format('p_name')} as bigint), 0) as event_type_id from part")
 def detect_type(spark, d):
-    return rules.least_type(read(spark, d, "part").select("p_partkey", "p_name"), "p_name", _types(spark)).select("p_partkey", "event_type_id")
+    return rules.least_type(read(spark, d, "part").select("p_partkey", "p_name"), "p_name", _types(spark)).select("p_partkey", F.coalesce("event_type_id", F.lit(0)).alias("event_type_id"))
 
 
 _ROUTES = "(values " + ", ".join(f"({a if a else 'cast(null as bigint)'}, '{p}', {u}, {c}, '{m}')" for a, p, u, c, m in ROUTES) + ") as r(t, priority, user_id, channel_id, mode)"
