@@ -34,15 +34,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.shared import free_name, saved
+from tidewire.llm.shared import forget, free_name, saved
 
 #: Bytes of a string that may not repeat; bytes at an anchor; bytes of a text that are hashed at a time.
 LENGTH, GRAM, CHUNK = 400, 32, 1 << 19
 #: Suffixes of a range of the sort, how many splitter candidates are sampled for each range, and the most ranges (the sample
-#: goes through the driver, some 10 kB a range); a larger corpus has larger ranges.
-RANGE_ROWS, PER_RANGE, RANGES = 4096, 16, 16_384
-#: A byte that UTF-8 never has ends the parts of a sort string; a reference (key, anchor, first and last window) ends it.
-END, FIELDS, REFERENCE = b"\xff", ">qqqqq", 40
+#: goes through the driver, some 3 kB a range); a larger corpus has larger ranges.
+RANGE_ROWS, PER_RANGE, RANGES = 4096, 4, 16_384
+#: A byte that UTF-8 never has ends the parts of a sort string; a reference (key, anchor, first and last window, hash) ends it.
+END, FIELDS, REFERENCE = b"\xff", ">qqqqqq", 48
 
 
 def keys(key: str, text: str) -> tuple[Column, Column]:
@@ -239,7 +239,7 @@ def pair(x: bytes, y: bytes, n: int) -> tuple[int, int]:
     return min(n, i, j), common(x[i + 1 : -REFERENCE - 1], y[j + 1 : -REFERENCE - 1])
 
 
-_NEIGHBOUR = "rng int, side int, edge binary, k1 long, k2 long, a long, first long, last long, x long, y long"
+_NEIGHBOUR = "rng int, side int, edge binary, k1 long, k2 long, a long, first long, last long, h long, x long, y long"
 
 
 def _neighbours(blobs: pd.DataFrame) -> pd.DataFrame:
@@ -254,21 +254,21 @@ def _neighbours(blobs: pd.DataFrame) -> pd.DataFrame:
         previous = s
     if previous is not None:
         rows.append((rng, 1, previous, *struct.unpack(FIELDS, previous[-REFERENCE:]), 0, 0))
-    return pd.DataFrame(rows, columns=["rng", "side", "edge", "k1", "k2", "a", "first", "last", "x", "y"])
+    return pd.DataFrame(rows, columns=["rng", "side", "edge", "k1", "k2", "a", "first", "last", "h", "x", "y"])
 
 
-def neighbours(contexts: DataFrame, backwards: bool) -> DataFrame:
-    """(k1, k2, a, first, last, r, l) for each suffix and each neighbour in the sorted order: bytes shared after and before.
-
-    ``backwards`` sorts by the context before the anchor first.
+def neighbours(contexts: DataFrame, backwards: bool) -> tuple[DataFrame, DataFrame]:
+    """The table that was written, and of it (k1, k2, a, first, last, h, r, l) for each suffix and each neighbour in the sorted
+    order: bytes shared after and before the anchor. ``backwards`` sorts by the context before the anchor first.
     """
     first, second = ("before", "after") if backwards else ("after", "before")
     whole = F.concat(F.col(first), F.lit(END), F.col(second), F.lit(END), F.col("reference"))
     strings = contexts.select(whole.alias("s"))
     n = contexts.count()
     ranges = min(RANGES, max(1, -(-n // RANGE_ROWS)))
-    # The splitters: a bounded number for each range, the first by a hash of the string.
-    sample = sorted(bytes(r["s"]) for r in strings.orderBy(F.xxhash64("s")).limit(ranges * PER_RANGE).collect())
+    # The splitters: strings whose hash falls into a share that gives about PER_RANGE for each range.
+    share = max(1, n // (ranges * PER_RANGE))
+    sample = sorted(bytes(r["s"]) for r in strings.filter(F.pmod(F.xxhash64("s"), F.lit(share)) == 0).collect())
     splitters = sample[:: max(1, len(sample) // ranges)]
     shared = contexts.sparkSession.sparkContext.broadcast(splitters)
 
@@ -293,11 +293,11 @@ def neighbours(contexts: DataFrame, backwards: bool) -> DataFrame:
                 low, high = bytes(low), bytes(high)
                 x, y = pair(low, high, common(low, high))
                 rows += ((*struct.unpack(FIELDS, s[-REFERENCE:]), x, y) for s in (low, high))
-            yield pd.DataFrame(rows, columns=["k1", "k2", "a", "first", "last", "x", "y"])
+            yield pd.DataFrame(rows, columns=["k1", "k2", "a", "first", "last", "h", "x", "y"])
 
-    edges = ends.join(starts, "next").select("low", "high").mapInPandas(across, "k1 long, k2 long, a long, first long, last long, x long, y long")
-    pairs = found.filter("side = -1").select("k1", "k2", "a", "first", "last", "x", "y").union(edges)
-    return pairs.withColumnsRenamed({"x": "l", "y": "r"} if backwards else {"x": "r", "y": "l"})
+    edges = ends.join(starts, "next").select("low", "high").mapInPandas(across, "k1 long, k2 long, a long, first long, last long, h long, x long, y long")
+    pairs = found.filter("side = -1").select("k1", "k2", "a", "first", "last", "h", "x", "y").union(edges)
+    return found, pairs.select("k1", "k2", "a", "first", "last", "h", *[F.col(x).alias(c) for x, c in zip("yx" if backwards else "xy", "rl")])
 
 
 _CONTEXT = "h long, k1 long, k2 long, a long, first long, after binary, before binary, reference binary"
@@ -311,7 +311,7 @@ def _contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             data = text.encode()
             for p in places:
                 h, a, first, last = p["h"], p["a"], p["first"], p["last"]
-                rows.append((h, k1, k2, a, first, data[a : last + LENGTH], data[first:a][::-1], struct.pack(FIELDS, k1, k2, a, first, last)))
+                rows.append((h, k1, k2, a, first, data[a : last + LENGTH], data[first:a][::-1], struct.pack(FIELDS, k1, k2, a, first, last, h)))
                 if len(rows) >= 20_000:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
@@ -319,30 +319,36 @@ def _contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns)
 
 
+_DECIDED = "k1 long, k2 long, a long, first long, h long, start long, stop long, low long, high long, open array<int>"
+
+
 def _decided(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each anchor the windows that a neighbour shares, as spans; and whether some in between the bounds stay open."""
+    """Of each anchor the windows that a neighbour shares, as spans [start, stop) of bytes; and in a row with ``low`` the bounds
+    of the windows that can repeat, and the offsets (anchor less window) of those that stay open."""
     for part in parts:
         rows = []
-        for k1, k2, a, first, last, r, l, shared in zip(*(part[c] for c in ("k1", "k2", "a", "first", "last", "r", "l", "shared"))):
+        for k1, k2, a, first, last, h, r, l, shared in zip(*(part[c] for c in ("k1", "k2", "a", "first", "last", "h", "r", "l", "shared"))):
             low, high = max(first, a - l), min(last, a + r - LENGTH)  # windows that can repeat
             if low > high:
                 continue
-            known = joined_spans((max(low, a - s["l"]), min(high, a + s["r"] - LENGTH) + 1) for s in shared if max(low, a - s["l"]) <= min(high, a + s["r"] - LENGTH))
-            rows += ((k1, k2, a, start, stop - 1 + LENGTH, None, None) for start, stop in known)
-            if sum(stop - start for start, stop in known) < high - low + 1:
-                rows.append((k1, k2, a, first, last, low, high))
-            else:
-                rows.append((k1, k2, a, first, last, low, -high - 1))  # decided, but a partner for others
-        yield pd.DataFrame(rows, columns=["k1", "k2", "a", "start", "stop", "low", "high"]).astype({"low": "Int64", "high": "Int64"})
+            pairs = ((max(low, a - s["l"]), min(high, a + s["r"] - LENGTH) + 1) for s in shared)
+            known = joined_spans(p for p in pairs if p[0] < p[1])
+            rows += ((k1, k2, a, first, h, start, stop - 1 + LENGTH, None, None, None) for start, stop in known)
+            still = [a - p for x, y in zip([low, *(k[1] for k in known)], [*(k[0] for k in known), high + 1]) for p in range(x, y)]
+            rows.append((k1, k2, a, first, h, None, None, low, high, still))
+        columns = ["k1", "k2", "a", "first", "h", "start", "stop", "low", "high", "open"]
+        yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("start", "stop", "low", "high")})
 
 
 def _open_windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Digests of the windows at the offsets that are open somewhere in their group of anchors."""
     for part in parts:
         rows = []
-        for h, k1, k2, first, after, before, low, high in zip(*(part[c] for c in ("h", "k1", "k2", "first", "after", "before", "low", "high"))):
+        for h, k1, k2, a, first, after, before, low, high, offsets in zip(*(part[c] for c in ("h", "k1", "k2", "a", "first", "after", "before", "low", "high", "offsets"))):
             data = bytes(before)[::-1] + bytes(after)
-            for p in range(low, high + 1):
-                rows.append((h, hashlib.blake2b(data[p - first : p - first + LENGTH], digest_size=16).digest(), k1, k2, p))
+            for p in (a - o for o in offsets):
+                if low <= p <= high:
+                    rows.append((h, hashlib.blake2b(data[p - first : p - first + LENGTH], digest_size=16).digest(), k1, k2, p))
             if len(rows) >= 50_000:
                 yield pd.DataFrame(rows, columns=["h", "digest", "k1", "k2", "p"])
                 rows = []
@@ -351,7 +357,7 @@ def _open_windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k1, k2, spans) of the documents that lose bytes: sorted disjoint [start, stop) spans of their UTF-8 bytes."""
+    """(k1, k2, spans) of the documents that lose bytes: [start, stop) spans of their UTF-8 bytes, which may overlap."""
     k1, k2 = keys(key, text)
     texts = docs.filter(F.octet_length(text) >= LENGTH).select(k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
     found = saved(texts.mapInPandas(_anchor_rows, _ANCHOR_ROW), "anchors")
@@ -360,23 +366,30 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     several = saved(placed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "grams")
     places = placed.join(several, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "a", "first", "last")).alias("places"))
     contexts = saved(texts.join(places, ["k1", "k2"]).mapInPandas(_contexts, _CONTEXT), "contexts")
-    both = neighbours(contexts, backwards=False).union(neighbours(contexts, backwards=True).select("k1", "k2", "a", "first", "last", "r", "l"))
-    bounds = both.groupBy("k1", "k2", "a", "first", "last").agg(F.max("r").alias("r"), F.max("l").alias("l"), F.collect_set(F.struct("r", "l")).alias("shared"))
-    decided = saved(bounds.mapInPandas(_decided, "k1 long, k2 long, a long, start long, stop long, low long, high long"), "decided")
-    return _listed(found, decided, contexts)
-
-
-def _listed(found: DataFrame, decided: DataFrame, contexts: DataFrame) -> DataFrame:
+    forward, ahead = neighbours(contexts, backwards=False)
+    backward, behind = neighbours(contexts, backwards=True)
+    bounds = ahead.unionByName(behind).groupBy("k1", "k2", "a", "first", "last", "h").agg(F.max("r").alias("r"), F.max("l").alias("l"), F.collect_set(F.struct("r", "l")).alias("shared"))
+    decided = saved(bounds.mapInPandas(_decided, _DECIDED), "decided")
+    for table in (forward, backward, several):
+        forget(table)
+    opened, tables = _opened(decided, contexts)
     local = found.filter("inside").select("k1", "k2", F.col("first").alias("start"), F.col("last").alias("stop"))
-    known = decided.filter("low is null").select("k1", "k2", "start", "stop")
-    bounds = decided.filter("low is not null").select("k1", "k2", "a", "start", "low", F.when(F.col("high") < 0, -F.col("high") - 1).otherwise(F.col("high")).alias("high"), (F.col("high") >= 0).alias("open"))
-    named = contexts.drop("reference").join(bounds.withColumnRenamed("start", "first"), ["k1", "k2", "a", "first"])
-    groups = saved(named.filter("open").select("h").distinct(), "open-grams")
-    windows = saved(named.join(groups, "h", "left_semi").mapInPandas(_open_windows, "h long, digest binary, k1 long, k2 long, p long"), "windows")
+    every = local.union(decided.filter("low is null").select("k1", "k2", "start", "stop")).union(opened)
+    out = saved(every.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    for table in (found, contexts, decided, *tables):
+        forget(table)
+    return out
+
+
+def _opened(decided: DataFrame, contexts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(k1, k2, start, stop) of the open windows that repeat after all, and the tables that stand behind it."""
+    bounds = decided.filter("low is not null")
+    groups = saved(bounds.select("h", F.explode("open").alias("o")).distinct().groupBy("h").agg(F.collect_list("o").alias("offsets")), "open-offsets")
+    named = contexts.drop("reference").join(groups, "h").join(bounds.select("k1", "k2", "a", "first", "low", "high"), ["k1", "k2", "a", "first"])
+    windows = saved(named.mapInPandas(_open_windows, "h long, digest binary, k1 long, k2 long, p long"), "windows")
     several = saved(windows.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "digest"), "digests")
-    opened = windows.join(several, ["h", "digest"], "left_semi").select("k1", "k2", F.col("p").alias("start"), (F.col("p") + LENGTH).alias("stop"))
-    every = local.union(known).union(opened).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    return every
+    repeated = windows.join(several, ["h", "digest"], "left_semi")
+    return repeated.select("k1", "k2", F.col("p").alias("start"), (F.col("p") + LENGTH).alias("stop")), [groups, windows, several]
 
 
 def _cut(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
