@@ -111,11 +111,6 @@ def votes(featured: DataFrame, names: dict[str, str]) -> Column:
     return F.concat(*[F.when(bad(f), "0").when(good(f), "2").otherwise("1") for _, bad, good in RULES])
 
 
-def start_model() -> dict:
-    """Vote rates before any data."""
-    return {"share": GOOD_SHARE} | {kind: [rates] * len(RULES) for kind, rates in START.items()}
-
-
 def posterior(pattern: Column, model: dict) -> Column:
     """The probability that a row with this vote pattern is good."""
     def log_likelihood(kind: str) -> Column:
@@ -132,20 +127,42 @@ def posterior(pattern: Column, model: dict) -> Column:
 def fit(patterns: DataFrame) -> dict:
     """The model that expectation-maximisation finds over (pattern, n): counts of vote patterns over the whole corpus.
 
-    Each round is one aggregation of the pattern table, which has at most ``3 ** len(RULES)`` rows however large the corpus.
+    There are at most ``3 ** len(RULES)`` patterns however large the corpus, so they fit one array; the rounds go over it inside
+    one expression, and only the model (a share and the vote rates) comes to the driver.
     """
-    model = start_model()
-    for _ in range(ROUNDS):
-        p = posterior(F.col("pattern"), model)
-        weight = {"good": p * F.col("n"), "bad": (F.lit(1.0) - p) * F.col("n")}
-        sums = [F.sum(w).alias(kind) for kind, w in weight.items()]
-        sums += [F.sum(F.when(F.substring("pattern", k + 1, 1) == str(v), weight[kind]).otherwise(0.0)).alias(f"{kind}_{k}_{v}") for kind in weight for k in range(len(RULES)) for v in range(3)]
-        got = {k: v or 0.0 for k, v in patterns.agg(*sums).first().asDict().items()}
-        first = start_model()
-        model = {"share": (got["good"] + PRIOR * GOOD_SHARE) / (got["good"] + got["bad"] + PRIOR)}
-        for kind in weight:
-            model[kind] = [tuple((got[f"{kind}_{k}_{v}"] + PRIOR * first[kind][k][v]) / (got[kind] + PRIOR) for v in range(3)) for k in range(len(RULES))]
-    return model
+    digits = F.transform(F.sequence(F.lit(1), F.lit(len(RULES))), lambda i: F.col("pattern").substr(i, F.lit(1)).cast("int"))
+    counted = patterns.select(digits.alias("v"), F.col("n").cast("double").alias("n"))
+    array = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    rates = lambda first: F.array(*[array(first)] * len(RULES))
+    start = F.struct(F.lit(float(GOOD_SHARE)).alias("share"), *[rates(first).alias(kind) for kind, first in START.items()])
+    total = lambda xs, of: F.aggregate(xs, F.lit(0.0), lambda a, x: a + of(x))
+
+    def likelihood(rates: Column, v: Column) -> Column:
+        return total(F.transform(v, lambda d, k: F.ln(F.get(F.get(rates, k), d))), lambda x: x)
+
+    def weighed(model: Column, p: Column) -> Column:
+        odds = F.ln((F.lit(1.0) - model["share"]) / model["share"]) + likelihood(model["bad"], p["v"]) - likelihood(model["good"], p["v"])
+        return _bound(F.lit(1.0) / (F.lit(1.0) + F.exp(odds)), lambda good: F.struct(p["v"].alias("v"), (good * p["n"]).alias("good"), ((F.lit(1.0) - good) * p["n"]).alias("bad")))
+
+    def estimated(found: Column, kind: str) -> Column:
+        def rate(k: Column, vote: int) -> Column:
+            return total(found, lambda x: F.when(F.get(x["v"], k) == vote, x[kind]).otherwise(0.0)) + F.lit(PRIOR * START[kind][vote])
+
+        every = F.transform(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), lambda k: F.array(*[rate(k, vote) for vote in range(3)]))
+        return _bound(total(found, lambda x: x[kind]), lambda n: F.transform(every, lambda r: F.transform(r, lambda x: x / (n + F.lit(PRIOR)))))
+
+    def step(model: Column) -> Column:
+        def again(found: Column) -> Column:
+            good, bad = (total(found, lambda x, kind=kind: x[kind]) for kind in ("good", "bad"))
+            share = (good + F.lit(PRIOR * GOOD_SHARE)) / (good + bad + F.lit(PRIOR))
+            return F.struct(share.alias("share"), *[estimated(found, kind).alias(kind) for kind in START])
+
+        return _bound(F.transform(F.col("patterns"), lambda p: weighed(model, p)), again)
+
+    gathered = counted.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("patterns"))
+    rounds = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda model, i: step(model))
+    got = gathered.select(rounds.alias("model")).first()["model"]
+    return {"share": got["share"]} | {kind: [tuple(r) for r in got[kind]] for kind in START}
 
 
 def base_failed(names: dict[str, str]) -> Column:
