@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many rules are tested in one expression; longer lists are joined.
+#: Up to so many rules are tested in one expression; longer lists go through a function (phrases) or a join (types).
 INLINE_RULES = 500
 
 # Category, priority, term, department; and what an unknown category gets.
@@ -27,14 +28,25 @@ TONALITY_LABELS = {"positive": "позитивная", "neutral": "нейтра
 def first_phrase(text: Column, phrases: list[tuple[str, str]]) -> Column:
     """The result of the first (phrase, result) whose phrase stands in the lower-cased text; null for none."""
     lowered, found = F.lower(F.coalesce(text, F.lit(""))), F.lit(None).cast("string")
-    for phrase, result in reversed(phrases[:INLINE_RULES]):
+    if len(phrases) > INLINE_RULES:
+        rules = [(phrase.lower(), result) for phrase, result in phrases]
+
+        @F.pandas_udf("string")
+        def first(texts: pd.Series) -> pd.Series:
+            return pd.Series([next((result for phrase, result in rules if phrase in t), None) for t in texts], dtype="object")
+
+        return first(lowered)
+    for phrase, result in reversed(phrases):
         found = F.when(F.contains(lowered, F.lit(phrase.lower())), F.lit(result)).otherwise(found)
     return found
 
 
 def least_type(events: DataFrame, title: str, types: DataFrame, id_: str = "id") -> DataFrame:
     """``events`` with ``event_type_id``: the least id of the types (id, keywords) of which a keyword stands in the title."""
-    rows = [(r["id"], [k.lower() for k in r["keywords"] or []]) for r in types.orderBy("id").limit(INLINE_RULES).collect()]
+    collected = types.orderBy("id").limit(INLINE_RULES + 1).collect()
+    if len(collected) > INLINE_RULES:
+        return _least_type_joined(events, title, types)
+    rows = [(r["id"], [k.lower() for k in r["keywords"] or []]) for r in collected]
     lowered, found = F.lower(F.coalesce(F.col(title), F.lit(""))), F.lit(None).cast("long")
     for i, keywords in reversed(rows):
         for k in keywords:
@@ -42,6 +54,17 @@ def least_type(events: DataFrame, title: str, types: DataFrame, id_: str = "id")
     return events.withColumn("event_type_id", found)
 
 
+def _least_type_joined(events: DataFrame, title: str, types: DataFrame) -> DataFrame:
+    """The same for any number of types: distinct titles meet blocks of about INLINE_RULES keywords, and the least id counts."""
+    words = types.select(F.col("id").cast("long").alias("id"), F.explode("keywords").alias("k")).filter("k is not null").select("id", F.lower("k").alias("k"))
+    n = words.count() // INLINE_RULES + 1
+    blocks = words.groupBy(F.pmod(F.xxhash64("id", "k"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "k")).alias("rules"))
+    titles = events.select(F.lower(F.coalesce(F.col(title), F.lit(""))).alias("_title")).distinct()
+    hits = F.transform(F.filter("rules", lambda r: F.contains(F.col("_title"), r["k"])), lambda r: r["id"])
+    found = titles.crossJoin(blocks).select("_title", F.array_min(hits).alias("i")).groupBy("_title").agg(F.min("i").alias("event_type_id"))
+    return events.drop("event_type_id").withColumn("_title", F.lower(F.coalesce(F.col(title), F.lit("")))).join(found, "_title", "left").drop("_title")
+
+
 def routed(events: DataFrame, rules: DataFrame) -> DataFrame:
     """(event_id, event_type_id, priority, user_id, channel_id, mode): recipients of each event by rules of its type and
     priority, and by rules of the priority alone unless a typed one reaches the same user over the same channel."""
