@@ -182,6 +182,7 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     distinct = saved(distinct, "entries")
     dims = sorted(r["dim"] for r in distinct.select("dim").distinct().collect())
     pivots = {d: np.array([r["v"] for r in distinct.filter(F.col("dim") == d).orderBy("h", "g").limit(PIVOTS).select("v").collect()], dtype=np.float64) for d in dims}
+    pivots = {d: p / np.linalg.norm(p, axis=1, keepdims=True) for d, p in pivots.items()}  # directions: long pivots aren't near everything
     asked = rows.filter(is_query).select("id", "h", "g")
     index = saved(distinct.mapInPandas(_indexed(pivots), "h long, g long, ids array<long>, dim int, x binary, near binary"), "permutations")
     queries = saved(index.join(asked.select("h", "g").distinct(), ["h", "g"], "left_semi").drop("ids"), "queries")
