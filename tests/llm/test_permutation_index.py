@@ -26,7 +26,7 @@ def test_recall_beyond_the_reranked_share(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((20_000, 48))
     x *= (np.exp(rng.normal(0, 0.4, len(x))) / np.linalg.norm(x, axis=1))[:, None]
-    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<double>")
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
     found = index.nearest(rows, F.col("id") % 100 == 0).toPandas()
     asked = np.arange(0, len(x), 100)
     scores = x[asked] @ x.T
