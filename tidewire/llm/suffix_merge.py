@@ -6,7 +6,9 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts anywhere
    leftmost on ties. Equal windows have their anchor at the same offset, so only suffixes at anchors need sorting (about one in
    185 bytes). Neighbouring windows share an anchor; its context is all the bytes of its windows. Anchors whose GRAM bytes
    occur once in the corpus can't repeat and are left out; contexts that occur several times inside one document are repeats
-   already, and one of each stands for them.
+   already, and one of each stands for them. So do contexts that several documents hold, and one of each goes on, so that large
+   groups of copies are as small as one document from here on. Only groups of anchors with equal GRAM bytes that hold two or
+   more distinct contexts, one of them undecided, are sorted.
 2. Sorted runs. Each task sorts its suffixes (the context from the anchor on, then the context before it read backwards) and
    cuts the run at splitters from a bounded sample; the pieces are exchanged front-coded: the length of the prefix shared with
    the string before, and the rest.
@@ -15,8 +17,9 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts anywhere
    Neighbours across ranges meet through the ranges' first and last strings.
 4. Decision. The longest common prefix of a suffix with any other is that with a neighbour. The same sort over the contexts
    read backwards from the anchor gives the longest common part before it. The windows between these two bounds can repeat; those
-   that a neighbour shares do. Where some in between stay open (one partner shares more before, another more after), all windows
-   between the bounds in that group of anchors are compared by digest. So the answer is exact.
+   that a neighbour shares do. Where some in between stay open (one partner shares more before, another more after), they are
+   compared by digest with the windows at the same offsets in their group of anchors; of windows that are known to be those of
+   the string before, the first stands for all. So the answer is exact.
 
 Defined results: a null or empty text, or one shorter than LENGTH, loses nothing; repeated rows are documents that repeat each
 other; an empty table gives no rows; ids may be null or repeat; other columns pass through.
@@ -41,8 +44,9 @@ LENGTH, GRAM, CHUNK = 400, 32, 1 << 19
 #: Suffixes of a range of the sort, how many splitter candidates are sampled for each range, and the most ranges (the sample
 #: goes through the driver, some 3 kB a range); a larger corpus has larger ranges.
 RANGE_ROWS, PER_RANGE, RANGES = 4096, 4, 16_384
-#: A byte that UTF-8 never has ends the parts of a sort string; a reference (key, anchor, first and last window, hash) ends it.
-END, FIELDS, REFERENCE = b"\xff", ">qqqqqq", 48
+#: A byte that UTF-8 never has ends the parts of a sort string; a reference (key, anchor, first and last window, hash,
+#: and whether one document alone holds the context) ends it.
+END, FIELDS, REFERENCE = b"\xff", ">qqqqqqq", 56
 
 
 def keys(key: str, text: str) -> tuple[Column, Column]:
@@ -94,21 +98,19 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(found, axis=1))
 
 
-def _inside(data: bytes, a: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def digests(data: bytes, a: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """128 bits of each context and of its anchor's place in it, as two columns of integers."""
+    made = [hashlib.blake2b(data[i : j + LENGTH], digest_size=16, salt=k.to_bytes(4, "big")).digest() for i, j, k in zip(first.tolist(), last.tolist(), (a - first).tolist())]
+    return np.frombuffer(b"".join(made), dtype="<i8").reshape(-1, 2)
+
+
+def _inside(contexts: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Which anchors stand for all with their context in this text, and the windows whose contexts occur several times in it."""
-    stay = np.ones(len(a), dtype=bool)
-    values, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
-    if len(values) == len(h):
-        return stay, []
-    seen: dict[bytes, int] = {}
-    repeated: set[int] = set()
-    for i in np.flatnonzero(counts[inverse] > 1).tolist():
-        context = hashlib.blake2b(data[first[i] : last[i] + LENGTH], digest_size=16).digest() + int(a[i] - first[i]).to_bytes(4, "big")
-        j = seen.setdefault(context, i)
-        if j != i:
-            stay[i] = False
-            repeated |= {i, j}
-    return stay, [(int(first[i]), int(last[i]) + LENGTH) for i in sorted(repeated)]
+    _, at, inverse, counts = np.unique(contexts, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    stay = np.zeros(len(contexts), dtype=bool)
+    stay[at] = True
+    several = np.flatnonzero(counts[inverse.ravel()] > 1)
+    return stay, [(int(first[i]), int(last[i]) + LENGTH) for i in several]
 
 
 def joined_spans(spans) -> list[tuple[int, int]]:
@@ -122,7 +124,7 @@ def joined_spans(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_ANCHOR_ROW = "k1 long, k2 long, inside boolean, h long, a long, first long, last long"
+_ANCHOR_ROW = "k1 long, k2 long, inside boolean, h long, c1 long, c2 long, a long, first long, last long"
 
 
 def _anchor_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,20 +136,21 @@ def _anchor_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(data) < LENGTH:
                 continue
             a, first, last, h = anchors(data)
-            stay, repeated = _inside(data, a, first, last, h)
-            columns.append(np.stack([h, a, first, last])[:, stay])
+            contexts = digests(data, a, first, last)
+            stay, repeated = _inside(contexts, first, last)
+            columns.append(np.stack([h, *contexts.T, a, first, last])[:, stay])
             insides.append(False)
             if repeated := joined_spans(repeated):
                 start, stop = np.array(repeated, dtype=np.int64).T
-                columns.append(np.stack([start * 0, start * 0, start, stop]))
+                columns.append(np.stack([start * 0] * 4 + [start, stop]))
                 insides.append(True)
             for c in columns[len(sizes) :]:
                 keys_.append((k1, k2))
                 sizes.append(c.shape[1])
         if columns:
             k = np.repeat(np.array(keys_, dtype=np.int64), sizes, axis=0)
-            h, a, first, last = np.concatenate(columns, axis=1)
-            yield pd.DataFrame({"k1": k[:, 0], "k2": k[:, 1], "inside": np.repeat(insides, sizes), "h": h, "a": a, "first": first, "last": last})
+            h, c1, c2, a, first, last = np.concatenate(columns, axis=1)
+            yield pd.DataFrame({"k1": k[:, 0], "k2": k[:, 1], "inside": np.repeat(insides, sizes), "h": h, "c1": c1, "c2": c2, "a": a, "first": first, "last": last})
 
 
 def common(x: bytes, y: bytes, at: int = 0) -> int:
@@ -239,7 +242,9 @@ def pair(x: bytes, y: bytes, n: int) -> tuple[int, int]:
     return min(n, i, j), common(x[i + 1 : -REFERENCE - 1], y[j + 1 : -REFERENCE - 1])
 
 
-_NEIGHBOUR = "rng int, side int, edge binary, k1 long, k2 long, a long, first long, last long, h long, x long, y long"
+#: What ``side`` says of a row: the first and the last string of a range, or what a string shares with the one before or after.
+LOW, HIGH, BEFORE, NEXT = 0, 1, 2, 3
+_NEIGHBOUR = "rng int, side int, edge binary, k1 long, k2 long, a long, first long, last long, h long, alone long, x long, y long"
 
 
 def _neighbours(blobs: pd.DataFrame) -> pd.DataFrame:
@@ -247,19 +252,20 @@ def _neighbours(blobs: pd.DataFrame) -> pd.DataFrame:
     rows, previous, rng = [], None, int(blobs["rng"].iloc[0])
     for n, s in merged([bytes(b) for b in blobs["run"]]):
         if previous is None:
-            rows.append((rng, 0, s, *struct.unpack(FIELDS, s[-REFERENCE:]), 0, 0))
+            rows.append((rng, LOW, s, *struct.unpack(FIELDS, s[-REFERENCE:]), 0, 0))
         else:
             x, y = pair(previous, s, n)
-            rows += ((rng, -1, None, *struct.unpack(FIELDS, t[-REFERENCE:]), x, y) for t in (previous, s))
+            rows += ((rng, side, None, *struct.unpack(FIELDS, t[-REFERENCE:]), x, y) for side, t in ((NEXT, previous), (BEFORE, s)))
         previous = s
     if previous is not None:
-        rows.append((rng, 1, previous, *struct.unpack(FIELDS, previous[-REFERENCE:]), 0, 0))
-    return pd.DataFrame(rows, columns=["rng", "side", "edge", "k1", "k2", "a", "first", "last", "h", "x", "y"])
+        rows.append((rng, HIGH, previous, *struct.unpack(FIELDS, previous[-REFERENCE:]), 0, 0))
+    return pd.DataFrame(rows, columns=["rng", "side", "edge", "k1", "k2", "a", "first", "last", "h", "alone", "x", "y"])
 
 
 def neighbours(contexts: DataFrame, backwards: bool) -> tuple[DataFrame, DataFrame]:
-    """The table that was written, and of it (k1, k2, a, first, last, h, r, l) for each suffix and each neighbour in the sorted
-    order: bytes shared after and before the anchor. ``backwards`` sorts by the context before the anchor first.
+    """The table that was written, and of it (k1, k2, a, first, last, h, alone, r, l, previous) for each suffix and each neighbour in the
+    sorted order: bytes shared after and before the anchor, and whether the neighbour is the one before in the forward order.
+    ``backwards`` sorts by the context before the anchor first.
     """
     first, second = ("before", "after") if backwards else ("after", "before")
     whole = F.concat(F.col(first), F.lit(END), F.col(second), F.lit(END), F.col("reference"))
@@ -283,8 +289,8 @@ def neighbours(contexts: DataFrame, backwards: bool) -> tuple[DataFrame, DataFra
 
     exchanged = strings.mapInPandas(runs, "rng int, run binary").groupBy("rng").applyInPandas(_neighbours, _NEIGHBOUR)
     found = saved(exchanged, "neighbours")
-    ends = found.filter("side = 1").select(F.col("rng").alias("next"), F.col("edge").alias("low"))
-    starts = found.filter("side = 0").select((F.col("rng") - 1).alias("next"), F.col("edge").alias("high"))
+    ends = found.filter(F.col("side") == HIGH).select(F.col("rng").alias("next"), F.col("edge").alias("low"))
+    starts = found.filter(F.col("side") == LOW).select((F.col("rng") - 1).alias("next"), F.col("edge").alias("high"))
 
     def across(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -292,12 +298,13 @@ def neighbours(contexts: DataFrame, backwards: bool) -> tuple[DataFrame, DataFra
             for low, high in zip(part["low"], part["high"]):
                 low, high = bytes(low), bytes(high)
                 x, y = pair(low, high, common(low, high))
-                rows += ((*struct.unpack(FIELDS, s[-REFERENCE:]), x, y) for s in (low, high))
-            yield pd.DataFrame(rows, columns=["k1", "k2", "a", "first", "last", "h", "x", "y"])
+                rows += ((side, *struct.unpack(FIELDS, s[-REFERENCE:]), x, y) for side, s in ((NEXT, low), (BEFORE, high)))
+            yield pd.DataFrame(rows, columns=["side", "k1", "k2", "a", "first", "last", "h", "alone", "x", "y"])
 
-    edges = ends.join(starts, "next").select("low", "high").mapInPandas(across, "k1 long, k2 long, a long, first long, last long, h long, x long, y long")
-    pairs = found.filter("side = -1").select("k1", "k2", "a", "first", "last", "h", "x", "y").union(edges)
-    return found, pairs.select("k1", "k2", "a", "first", "last", "h", *[F.col(x).alias(c) for x, c in zip("yx" if backwards else "xy", "rl")])
+    edges = ends.join(starts, "next").select("low", "high").mapInPandas(across, "side int, k1 long, k2 long, a long, first long, last long, h long, alone long, x long, y long")
+    pairs = found.filter(F.col("side") >= BEFORE).select("side", "k1", "k2", "a", "first", "last", "h", "alone", "x", "y").union(edges)
+    previous = F.lit(False) if backwards else F.col("side") == BEFORE
+    return found, pairs.select("k1", "k2", "a", "first", "last", "h", "alone", *[F.col(x).alias(c) for x, c in zip("yx" if backwards else "xy", "rl")], previous.alias("previous"))
 
 
 _CONTEXT = "h long, k1 long, k2 long, a long, first long, after binary, before binary, reference binary"
@@ -310,8 +317,8 @@ def _contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k1, k2, text, places in zip(part["k1"], part["k2"], part["text"], part["places"]):
             data = text.encode()
             for p in places:
-                h, a, first, last = p["h"], p["a"], p["first"], p["last"]
-                rows.append((h, k1, k2, a, first, data[a : last + LENGTH], data[first:a][::-1], struct.pack(FIELDS, k1, k2, a, first, last, h)))
+                h, a, first, last, alone = (p[c] for c in ("h", "a", "first", "last", "alone"))
+                rows.append((h, k1, k2, a, first, data[a : last + LENGTH], data[first:a][::-1], struct.pack(FIELDS, k1, k2, a, first, last, h, alone)))
                 if len(rows) >= 20_000:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
@@ -319,41 +326,57 @@ def _contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns)
 
 
-_DECIDED = "k1 long, k2 long, a long, first long, h long, start long, stop long, low long, high long, open array<int>"
+_DECIDED = "k1 long, k2 long, a long, first long, h long, start long, stop long, posted array<struct<start: long, stop: long>>, open array<struct<start: long, stop: long>>"
+
+
+def _between(low: int, high: int, known: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """The windows low to high outside the spans ``known``, as spans [start, stop)."""
+    return [{"start": x, "stop": y} for x, y in zip([low, *(k[1] for k in known)], [*(k[0] for k in known), high + 1]) if x < y]
 
 
 def _decided(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each anchor the windows that a neighbour shares, as spans [start, stop) of bytes; and in a row with ``low`` the bounds
-    of the windows that can repeat, and the offsets (anchor less window) of those that stay open."""
+    """Of each anchor the windows that a neighbour shares, as spans [start, stop) of bytes; and in a row with ``posted`` those of
+    the windows that can repeat, as spans of windows, which the string before doesn't share, and those that stay ``open``: no
+    neighbour shares them, and no other document holds the context (``alone``)."""
     for part in parts:
         rows = []
-        for k1, k2, a, first, last, h, r, l, shared in zip(*(part[c] for c in ("k1", "k2", "a", "first", "last", "h", "r", "l", "shared"))):
+        for k1, k2, a, first, last, h, r, l, shared, alone in zip(*(part[c] for c in ("k1", "k2", "a", "first", "last", "h", "r", "l", "shared", "alone"))):
             low, high = max(first, a - l), min(last, a + r - LENGTH)  # windows that can repeat
             if low > high:
                 continue
-            pairs = ((max(low, a - s["l"]), min(high, a + s["r"] - LENGTH) + 1) for s in shared)
-            known = joined_spans(p for p in pairs if p[0] < p[1])
-            rows += ((k1, k2, a, first, h, start, stop - 1 + LENGTH, None, None, None) for start, stop in known)
-            still = [a - p for x, y in zip([low, *(k[1] for k in known)], [*(k[0] for k in known), high + 1]) for p in range(x, y)]
-            rows.append((k1, k2, a, first, h, None, None, low, high, still))
-        columns = ["k1", "k2", "a", "first", "h", "start", "stop", "low", "high", "open"]
-        yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("start", "stop", "low", "high")})
+            pairs = [(max(low, a - s["l"]), min(high, a + s["r"] - LENGTH) + 1, s["previous"]) for s in shared]
+            known = joined_spans(p[:2] for p in pairs if p[0] < p[1])
+            if alone:
+                rows += ((k1, k2, a, first, h, start, stop - 1 + LENGTH, None, None) for start, stop in known)
+            before = joined_spans(p[:2] for p in pairs if p[0] < p[1] and p[2])
+            if posted := _between(low, high, before):
+                rows.append((k1, k2, a, first, h, None, None, posted, _between(low, high, known) if alone else []))
+        columns = ["k1", "k2", "a", "first", "h", "start", "stop", "posted", "open"]
+        yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("start", "stop")})
 
 
 def _open_windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Digests of the windows at the offsets that are open somewhere in their group of anchors."""
+    """Digests of the posted windows at the offsets that are open somewhere in their group of anchors; ``mine``: open here."""
+    columns, inside = ["h", "digest", "k1", "k2", "p", "mine"], lambda p, spans: any(s["start"] <= p < s["stop"] for s in spans)
     for part in parts:
         rows = []
-        for h, k1, k2, a, first, after, before, low, high, offsets in zip(*(part[c] for c in ("h", "k1", "k2", "a", "first", "after", "before", "low", "high", "offsets"))):
+        for h, k1, k2, a, first, after, before, offsets, posted, still in zip(*(part[c] for c in ("h", "k1", "k2", "a", "first", "after", "before", "offsets", "posted", "open"))):
             data = bytes(before)[::-1] + bytes(after)
             for p in (a - o for o in offsets):
-                if low <= p <= high:
-                    rows.append((h, hashlib.blake2b(data[p - first : p - first + LENGTH], digest_size=16).digest(), k1, k2, p))
+                if inside(p, posted):
+                    rows.append((h, hashlib.blake2b(data[p - first : p - first + LENGTH], digest_size=16).digest(), k1, k2, p, inside(p, still)))
             if len(rows) >= 50_000:
-                yield pd.DataFrame(rows, columns=["h", "digest", "k1", "k2", "p"])
+                yield pd.DataFrame(rows, columns=columns)
                 rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=["h", "digest", "k1", "k2", "p"])
+            yield pd.DataFrame(rows, columns=columns)
+
+
+def distinct_contexts(placed: DataFrame) -> DataFrame:
+    """(h, c1, c2, n, k1, k2, a, first, last): each distinct context with how many documents hold it, and the first met of its
+    places; the table is written, so that the choice stays."""
+    place = [F.first(c).alias(c) for c in ("k1", "k2", "a", "first", "last")]
+    return saved(placed.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), *place), "distinct-contexts")
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -362,33 +385,44 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     texts = docs.filter(F.octet_length(text) >= LENGTH).select(k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
     found = saved(texts.mapInPandas(_anchor_rows, _ANCHOR_ROW), "anchors")
     placed = found.filter(~F.col("inside"))
-    # Written first, so that the join is one of two tables, whose large partitions Spark splits.
-    several = saved(placed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "grams")
-    places = placed.join(several, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "a", "first", "last")).alias("places"))
+    distinct = distinct_contexts(placed)
+    # Contexts that several documents hold are repeats as they stand.
+    several = saved(distinct.filter("n > 1").select("c1", "c2"), "copied-contexts")
+    copied = placed.join(several, ["c1", "c2"], "left_semi").select("k1", "k2", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop"))
+    # Groups with two distinct contexts or more, of which one is undecided.
+    groups = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).filter("contexts > 1 and least = 1")
+    groups = saved(groups.select("h"), "grams")
+    live = distinct.join(groups, "h", "left_semi").select("h", (F.col("n") == 1).cast("long").alias("alone"), "k1", "k2", "a", "first", "last")
+    places = live.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "a", "first", "last", "alone")).alias("places"))
     contexts = saved(texts.join(places, ["k1", "k2"]).mapInPandas(_contexts, _CONTEXT), "contexts")
     forward, ahead = neighbours(contexts, backwards=False)
     backward, behind = neighbours(contexts, backwards=True)
-    bounds = ahead.unionByName(behind).groupBy("k1", "k2", "a", "first", "last", "h").agg(F.max("r").alias("r"), F.max("l").alias("l"), F.collect_set(F.struct("r", "l")).alias("shared"))
+    seen = F.collect_set(F.struct("r", "l", "previous")).alias("shared")
+    bounds = ahead.unionByName(behind).groupBy("k1", "k2", "a", "first", "last", "h", "alone").agg(F.max("r").alias("r"), F.max("l").alias("l"), seen)
     decided = saved(bounds.mapInPandas(_decided, _DECIDED), "decided")
-    for table in (forward, backward, several):
+    for table in (forward, backward):
         forget(table)
     opened, tables = _opened(decided, contexts)
     local = found.filter("inside").select("k1", "k2", F.col("first").alias("start"), F.col("last").alias("stop"))
-    every = local.union(decided.filter("low is null").select("k1", "k2", "start", "stop")).union(opened)
+    every = local.union(copied).union(decided.filter("posted is null").select("k1", "k2", "start", "stop")).union(opened)
     out = saved(every.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
-    for table in (found, contexts, decided, *tables):
+    for table in (found, distinct, several, groups, contexts, decided, *tables):
         forget(table)
     return out
 
 
 def _opened(decided: DataFrame, contexts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(k1, k2, start, stop) of the open windows that repeat after all, and the tables that stand behind it."""
-    bounds = decided.filter("low is not null")
-    groups = saved(bounds.select("h", F.explode("open").alias("o")).distinct().groupBy("h").agg(F.collect_list("o").alias("offsets")), "open-offsets")
-    named = contexts.drop("reference").join(groups, "h").join(bounds.select("k1", "k2", "a", "first", "low", "high"), ["k1", "k2", "a", "first"])
-    windows = saved(named.mapInPandas(_open_windows, "h long, digest binary, k1 long, k2 long, p long"), "windows")
-    several = saved(windows.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "digest"), "digests")
-    repeated = windows.join(several, ["h", "digest"], "left_semi")
+    """(k1, k2, start, stop) of the open windows that repeat after all, and the tables that stand behind it.
+
+    Every open window is posted, and of the equal windows of its partners at least the first in the forward order.
+    """
+    bounds = decided.filter("posted is not null").select("h", "k1", "k2", "a", "first", "posted", "open")
+    offsets = F.flatten(F.transform("open", lambda s: F.sequence(F.col("a") - s["stop"] + 1, F.col("a") - s["start"])))
+    groups = saved(bounds.select("h", F.explode(offsets).alias("o")).distinct().groupBy("h").agg(F.collect_list("o").alias("offsets")), "open-offsets")
+    named = contexts.drop("reference").join(groups, "h").join(bounds.drop("h"), ["k1", "k2", "a", "first"])
+    windows = saved(named.mapInPandas(_open_windows, "h long, digest binary, k1 long, k2 long, p long, mine boolean"), "windows")
+    several = saved(windows.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("mine").alias("open")).filter("n > 1 and open").select("h", "digest"), "digests")
+    repeated = windows.filter("mine").join(several, ["h", "digest"], "left_semi")
     return repeated.select("k1", "k2", F.col("p").alias("start"), (F.col("p") + LENGTH).alias("stop")), [groups, windows, several]
 
 
