@@ -85,7 +85,7 @@ from r"""
 
 MIX = r"""
 with d as (
-  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '')) as h
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size, md5(coalesce(cast(doc_id as varchar), text, '')) as h
   from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 r as (select *, row_number() over (order by source nulls last) - 1 as slot from s),

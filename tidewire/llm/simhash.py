@@ -12,8 +12,8 @@ checked last.
 A bucket with over ``CROWDED`` fingerprints doesn't pair them all. Its fingerprints meet at points instead: two are within 2
 bits exactly if a point within 1 bit of both exists. Each posts the points that its chain budget allows (its own value, and
 one bit changed outside the starting segment), and links to the least fingerprint at each point. The links at a point are all
-true, and connect all that share it, so no link between groups is lost; rows stay proportional to fingerprints. For TAU other
-than 2, crowded buckets are split by further segments instead, with the same budgets.
+true, and connect all that share it, so no link between groups is lost; rows stay proportional to fingerprints. That holds for
+a distance of 2 alone, and ``links`` refuses crowded buckets at another one.
 
 Copies share a fingerprint and are one node; groups are the connected components.
 
@@ -37,8 +37,6 @@ from tidewire.llm.shared import free_name, saved
 
 #: Words of a shingle, and bits in which linked fingerprints differ at most.
 WORDS, TAU = 3, 2
-#: Fingerprints over distinct words that ``word_fingerprints`` gives.
-KINDS = 4
 #: Words of a shingle of ``one_of_each``, and the Jaccard similarity (a fraction) from which it links texts.
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Values by which its candidates meet, and minima in each; and the multipliers and addends of the minima's orders.
@@ -150,23 +148,6 @@ def classes(base: DataFrame, tau: int = TAU) -> DataFrame:
     return saved(rooted.join(names, "root").select("fp", "component_id"), "classes")
 
 
-def word_fingerprints(text: str | None, kinds: int = KINDS) -> list[int]:
-    """Fingerprints of the distinct words of a text, each kind with its own hash (one hash, multiplied by odd numbers)."""
-    found = list(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
-    if not found:
-        return [0] * kinds
-    base, out = np.array([xxhash.xxh64_intdigest(w, 42) for w in found], dtype="<u8"), []
-    for k in range(kinds):
-        h = (base ^ (base >> np.uint64(31))) * np.uint64(2 * (0x9E3779B97F4A7C15 * (k + 1) & ((1 << 62) - 1)) + 1)
-        h = np.ascontiguousarray((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
-        h ^= h >> np.uint64(32)
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(h), BLOCK):
-            ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
-    return out
-
-
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text; one of all its words if it has fewer than n; none without a word."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()

@@ -173,7 +173,7 @@ def base_failed(names: dict[str, str]) -> Column:
 def judged(featured: DataFrame, names: dict[str, str]) -> DataFrame:
     """Rows with features, plus p_good, base_failed and kept. The vote patterns are counted over all rows first."""
     pattern = votes(featured, names)
-    counts = saved(featured.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
+    counts = saved(featured.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n")), "vote-patterns")
     model = fit(counts)
     forget(counts)
     p, failed, kept = (free_name(featured, c) for c in ("p_good", "base_failed", "kept"))
