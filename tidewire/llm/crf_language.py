@@ -5,9 +5,12 @@ length class, and the languages in whose lexicon it stands) score every language
 forward-backward gives each word its probabilities, so a text that switches languages is labelled piece by piece. The text's
 language is the one with the largest mean probability over its words.
 
-Fitting takes a bounded sample: for each language ``SALTS * PER_SALT`` documents, the first by a hash, and of those ``RUNS``
-runs of ``RUN`` words. The lexicon holds words that the sample has often and nearly always in one language. Only the texts and
-languages of the rows that the caller passes are learned from.
+Fitting takes a bounded sample: for each language ``SALTS * PER_SALT`` documents, the first by a hash, and of those its equal
+share of ``RUNS`` runs of ``RUN`` words (``LEAST_RUNS`` at least), ``PER_DOC`` of one document at most, so that neither a large
+language nor a long text crowds out the others. Every other pair of runs trades its second halves, so that the sample holds
+switches of language too. The fit follows the gradient of the log-likelihood: observed less expected features and, from the
+pairwise probabilities of forward-backward, observed less expected transitions. The lexicon holds words that the sample has
+often and nearly always in one language. Only the texts and languages of the rows that the caller passes are learned from.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and no pieces, and so is every text when nothing
 was learned; rows with a null language teach nothing; repeated rows get equal results; an empty table gives no rows; other
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.shared import free_name, words
 
-#: The sample: documents of a language, runs in all, words of a run.
-SALTS, PER_SALT, RUNS, RUN = 32, 16, 12_000, 40
+#: The sample: documents of a language, runs in all and of a language at least, runs of a document at most, words of a run.
+SALTS, PER_SALT, RUNS, LEAST_RUNS, PER_DOC, RUN = 32, 16, 12_000, 128, 64, 40
 #: Buckets of the hashed features; rounds and step of the fit; the penalty on weights.
 BUCKETS, ROUNDS, STEP, RIDGE = 1 << 16, 40, 0.3, 1e-6
 #: Times and share of a word in one language that put it into the lexicon.
@@ -62,11 +65,11 @@ def feature_ids(word: str, lexicon: dict[str, int]) -> list[int]:
     return [zlib.crc32(f.encode()) & (BUCKETS - 1) for f in found]
 
 
-def marginals(scores: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+def marginals(scores: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, steps: np.ndarray | None = None) -> np.ndarray:
     """Probabilities of each word's labels by forward-backward, many texts side by side.
 
     ``scores``: words x labels, text after text; ``lengths`` never increase, so the texts that still go on at a step are the
-    first ones.
+    first ones. ``steps``, labels x labels, gains the expected number of each transition.
     """
     step = np.exp(transitions - transitions.max())
     word = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -85,7 +88,11 @@ def marginals(scores: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, tran
         now = np.ones((n, word.shape[1]))
         if behind is not None:
             m = len(behind)
-            now[:m] = (word[at[:m] + 1] * behind) @ step.T
+            after = word[at[:m] + 1] * behind
+            if steps is not None:
+                both = ahead[at[:m]][:, :, None] * step[None] * after[:, None, :]
+                steps += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            now[:m] = after @ step.T
             now[:m] /= now[:m].sum(axis=1, keepdims=True)
         behind = now
         both = ahead[at] * now
@@ -93,18 +100,27 @@ def marginals(scores: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, tran
     return ahead
 
 
+def switched(runs: list[list[tuple[int, str]]]) -> list[list[tuple[int, str]]]:
+    """The runs of (label, word), of which every other pair has traded its second halves."""
+    out = list(runs)
+    for i in range(0, len(out) - 1, 4):
+        a, b = out[i], out[i + 1]
+        out[i], out[i + 1] = a[: len(a) // 2] + b[len(b) // 2 :], b[: len(b) // 2] + a[len(a) // 2 :]
+    return out
+
+
 def trained(runs: list[tuple[str, list[str]]]) -> Model:
     """The model of (language, words) runs, by full-batch gradient steps on the log-likelihood."""
     languages = tuple(sorted({language for language, _ in runs}))
     number = {x: i for i, x in enumerate(languages)}
-    cleaned = [(number[x], [w for w in (letters(t.lower()) for t in ts) if w]) for x, ts in runs]
-    cleaned = sorted((r for r in cleaned if r[1]), key=lambda r: -len(r[1]))
+    worded = [[(number[x], w) for w in (letters(t.lower()) for t in ts) if w] for x, ts in runs]
+    cleaned = sorted((r for r in switched([r for r in worded if r]) if r), key=lambda r: -len(r))
     if not cleaned:
         return Model((), np.zeros((0, 0)), np.zeros((0, 0)), {})
     k = len(languages)
     seen: dict[str, Counter] = {}
-    for label, ws in cleaned:
-        for w in ws:
+    for run in cleaned:
+        for label, w in run:
             seen.setdefault(w, Counter())[label] += 1
     # Half of the eligible words enter, so that the other features learn from words outside the lexicon too.
     lexicon = {w: c.most_common(1)[0][0] for w, c in seen.items() if c.total() >= LEXICON_N and c.most_common(1)[0][1] >= LEXICON_SHARE * c.total()}
@@ -113,10 +129,10 @@ def trained(runs: list[tuple[str, list[str]]]) -> Model:
     ids = [feature_ids(w, fitted) for w in seen]
     flat, starts = np.array([i for x in ids for i in x]), np.cumsum([0, *map(len, ids)])[:-1]
     owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    index = np.array([place[w] for _, ws in cleaned for w in ws])
-    lengths = np.array([len(ws) for _, ws in cleaned])
+    index = np.array([place[w] for run in cleaned for _, w in run])
+    lengths = np.array([len(run) for run in cleaned])
     offsets = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    truth = np.repeat([label for label, _ in cleaned], lengths)
+    truth = np.array([label for run in cleaned for label, _ in run])
     weights, transitions = np.zeros((BUCKETS, k)), np.zeros((k, k))
     squares, step_squares = np.full_like(weights, 1e-8), np.full_like(transitions, 1e-8)
     inside = np.ones(len(index), dtype=bool)
@@ -126,13 +142,11 @@ def trained(runs: list[tuple[str, list[str]]]) -> Model:
     for _ in range(ROUNDS):
         emitted = np.add.reduceat(weights[flat], starts, axis=0)
         scores = emitted[index]
-        p = marginals(scores, offsets, lengths, transitions)
-        gap = p.copy()
+        expected = np.zeros((k, k))
+        gap = marginals(scores, offsets, lengths, transitions, expected)
         gap[np.arange(len(truth)), truth] -= 1
         by_word = np.stack([np.bincount(index, gap[:, j], len(ids)) for j in range(k)], axis=1)
         gradient = np.stack([np.bincount(flat, by_word[owner, j], BUCKETS) for j in range(k)], axis=1) / len(truth) + RIDGE * weights
-        # Expected transitions, from the product of neighbouring probabilities.
-        expected = p[after - 1].T @ p[after]
         step_gradient = (expected - gold_steps) / len(truth) + 1e-3 * transitions
         squares += gradient**2
         step_squares += step_gradient**2
@@ -153,9 +167,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str
     texts = known.select(F.col(language).alias("language"), h.alias("h"), F.col(text).alias("text")).join(F.broadcast(chosen), "h")
     found = texts.select("language", "h", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / RUN)), lambda i: F.slice(F.col("w"), (i * RUN + 1).cast("int"), RUN))
-    runs = found.select("language", "h", F.posexplode(cut).alias("i", "run"))
-    rows = runs.orderBy(F.xxhash64("h", "i"), "h", "i").limit(RUNS).collect()
-    return trained([(r["language"], list(r["run"])) for r in rows])
+    runs = found.select("language", "h", F.posexplode(cut).alias("i", "run")).withColumn("order", F.xxhash64("h", "i"))
+    runs = runs.withColumn("nth", F.row_number().over(W.partitionBy("h").orderBy("order", "i"))).filter(F.col("nth") <= PER_DOC)
+    most = max(LEAST_RUNS, RUNS // max(1, known.select(language).distinct().count()))
+    rows = runs.withColumn("rank", F.row_number().over(W.partitionBy("language").orderBy("order", "h", "i"))).filter(F.col("rank") <= most)
+    return trained([(r["language"], list(r["run"])) for r in rows.orderBy("order", "h", "i").select("language", "run").collect()])
 
 
 class Labeller:
