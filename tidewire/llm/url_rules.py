@@ -1,8 +1,9 @@
-"""URL filters: host and path rules, then pattern rules found through an index of their rarest literal tokens.
+"""URL filters: rules found through an index of their rarest literal tokens.
 
-A pattern rule is a regular expression with the literal tokens that any match must hold. Each rule is posted under the one of
-its tokens that the fewest URLs of the corpus hold (counted over all of them), so that common tokens fetch nothing; the tokens
-of a URL fetch candidate rules, and only those run their regular expressions on it.
+A pattern rule is a regular expression with the literal tokens that any match must hold; a host rule's tokens are those of its
+host and the whole ones of its path. Each rule is posted under the one of its tokens that the fewest URLs of the corpus hold
+(counted over all of them), so that common tokens fetch nothing; the tokens of a URL fetch candidate rules, and only those run
+their regular expressions, or compare their hosts and paths, on it.
 
 Host and path rules come first: such a rule fits its host and all subdomains when the URL's path starts with the rule's path;
 the longest fitting rule (by host, then path) decides.
@@ -13,6 +14,7 @@ matches it; repeated URLs get equal results; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -67,27 +69,23 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def host_rule(host: Column, path: Column, rules=HOST_RULES) -> Column:
-    """The longest fitting (verdict, host, path) as a struct of rule and verdict, or null. The list is short and given in code."""
-    out = F.lit(None).cast("struct<rule: string, verdict: string>")
-    for verdict, h, p in sorted(rules, key=lambda r: (len(r[1]), len(r[2]), r)):
-        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
-    return out
+def host_tokens(host: str, path: str) -> list[str]:
+    """Tokens that the URL holds as whole ones wherever the rule fits: a path's last token may go on in the URL."""
+    return re.findall(TOKEN, host.lower()) + re.findall(TOKEN + r"(?=[^a-z0-9])", path.lower())
 
 
-def indexed(urls: DataFrame, url: str, rules) -> DataFrame:
-    """(token, name, verdict, pattern): each rule under its token that the fewest of the distinct ``urls`` hold.
+def indexed(urls: DataFrame, url: str, pattern_rules, host_rules) -> DataFrame:
+    """(token, rule): each rule under its token that the fewest of the distinct ``urls`` hold.
 
     Rules without a literal token can't be indexed and stand under the empty token, which every URL has.
     """
-    spark = urls.sparkSession
-    wanted = spark.createDataFrame([(r.name, r.verdict, r.pattern, list(r.tokens or ("",))) for r in rules], "name string, verdict string, pattern string, tokens array<string>")
-    held = wanted.select("name", "verdict", "pattern", F.explode("tokens").alias("token"))
+    rows = [(r.name, r.verdict, r.pattern, None, None, list(r.tokens or ("",))) for r in pattern_rules]
+    rows += [(host + path, verdict, None, host, path, host_tokens(host, path) or [""]) for verdict, host, path in host_rules]
+    wanted = urls.sparkSession.createDataFrame(rows, "name string, verdict string, pattern string, host string, path string, tokens array<string>")
+    held = wanted.select(F.struct("name", "verdict", "pattern", "host", "path").alias("rule"), F.explode("tokens").alias("token"))
     seen = urls.select(F.explode(tokens(F.col(url))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    counted = held.join(seen, "token", "left").select("*", F.coalesce("n", F.lit(0)).alias("seen"))
-    best = F.min_by(F.struct("token", "verdict", "pattern"), F.struct("seen", "token"))
-    return counted.groupBy("name").agg(best.alias("best")).select("best.token", "name", "best.verdict", "best.pattern")
+    counted = held.join(seen, "token", "left").select("rule", "token", F.coalesce("n", F.lit(0)).alias("seen"))
+    return counted.groupBy("rule").agg(F.min_by("token", F.struct("seen", "token")).alias("token"))
 
 
 def tokens(url: Column) -> Column:
@@ -95,32 +93,38 @@ def tokens(url: Column) -> Column:
     return F.array_union(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(url, F.lit(""))), F.lit(f"({TOKEN})"))), F.array(F.lit("")))
 
 
-def matches(urls: DataFrame, url: str, rules=PATTERN_RULES) -> DataFrame:
-    """(url, patterns, verdict) of the distinct URLs that a pattern rule matches; an allowing match wins over blocking ones."""
-    if not rules:
-        return urls.select(url).limit(0).select(url, F.array().cast("array<string>").alias("patterns"), F.lit("").alias("verdict"))
-    index = indexed(urls, url, rules)
-    if len(rules) <= BROADCAST_RULES:
+def matches(urls: DataFrame, url: str, pattern_rules=PATTERN_RULES, host_rules=HOST_RULES) -> DataFrame:
+    """(url, patterns, verdict, host_rule) of the distinct URLs that a rule fits.
+
+    ``patterns`` are the names of the pattern rules that match, and ``verdict`` is theirs, where an allowing match wins over
+    blocking ones; ``host_rule`` is the longest host rule that fits, with its verdict.
+    """
+    index = indexed(urls, url, pattern_rules, host_rules)
+    if len(pattern_rules) + len(host_rules) <= BROADCAST_RULES:
         index = F.broadcast(index)
-    posted = urls.select(url, F.explode(tokens(F.col(url))).alias("token"))
-    found = posted.join(index, "token").filter(F.expr(f"lower(`{url}`) rlike pattern"))
-    allow = F.max(F.col("verdict") == "allow")
-    return found.groupBy(url).agg(F.array_sort(F.collect_set("name")).alias("patterns"), F.when(allow, "allow").otherwise("block").alias("verdict"))
+    host, path = host_and_path(F.col(url))
+    posted = urls.select(url, host.alias("host"), path.alias("path"), F.explode(tokens(F.col(url))).alias("token"))
+    fits = F.expr(f"case when rule.pattern is not null then lower(`{url}`) rlike rule.pattern else (host = rule.host or endswith(host, concat('.', rule.host))) and startswith(path, rule.path) end")
+    found = posted.join(index, "token").filter(fits)
+    by_pattern = F.col("rule.pattern").isNotNull()
+    names = F.array_sort(F.collect_set(F.when(by_pattern, F.col("rule.name"))))
+    allow = F.max(F.when(by_pattern, F.col("rule.verdict") == "allow"))
+    longest = F.max(F.when(~by_pattern, F.struct(F.length("rule.host").alias("h"), F.length("rule.path").alias("p"), F.col("rule.verdict").alias("verdict"), F.col("rule.name").alias("rule"))))
+    return found.groupBy(url).agg(names.alias("patterns"), F.when(allow, "allow").when(~allow, "block").alias("verdict"), longest.alias("host_rule"))
 
 
 def judged(pages: DataFrame, url: str = "url", host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
     """``pages`` with host, path, rule, patterns and verdict (``allow`` or ``block``)."""
-    key, found, hit = free_name(pages, "url_key"), free_name(pages, "host_rule"), free_name(pages, "hit")
+    key, hit = free_name(pages, "url_key"), free_name(pages, "hit")
     urls = saved(pages.select(F.col(url).alias(key)).filter(F.col(key).isNotNull()).distinct(), "urls")
-    matched = matches(urls, key, pattern_rules).select(key, F.struct("patterns", "verdict").alias(hit))
+    matched = matches(urls, key, pattern_rules, host_rules).select(key, F.struct("patterns", "verdict", "host_rule").alias(hit))
     host, path = host_and_path(F.col(url))
     names = {c: free_name(pages, c) for c in ("host", "path", "rule", "patterns", "verdict")}
     out = pages.withColumn(names["host"], host).withColumn(names["path"], path)
-    out = out.withColumn(found, host_rule(F.col(names["host"]), F.col(names["path"]), host_rules))
     out = out.join(matched, out[url] == matched[key], "left")
     return (
-        out.withColumn(names["rule"], F.col(found)["rule"])
+        out.withColumn(names["rule"], F.col(hit)["host_rule"]["rule"])
         .withColumn(names["patterns"], F.coalesce(F.col(hit)["patterns"], F.array().cast("array<string>")))
-        .withColumn(names["verdict"], F.coalesce(F.col(found)["verdict"], F.col(hit)["verdict"], F.lit("allow")))
-        .drop(key, found, hit)
+        .withColumn(names["verdict"], F.coalesce(F.col(hit)["host_rule"]["verdict"], F.col(hit)["verdict"], F.lit("allow")))
+        .drop(key, hit)
     )
