@@ -2,8 +2,8 @@
 
 Two dictionaries are trained from blocks of labelled text. A text is cut into blocks of ``BLOCK`` bytes (the whole text, every
 block), each block is compressed with either dictionary, and the difference of the summed sizes, divided by their sum, says
-which side the text resembles. Two-sided compression also gives how far a text compresses at all and how long it is; a
-logistic model over these, fitted on labelled rows that the dictionaries didn't see, turns the difference into a probability.
+which side the text resembles. A logistic curve over that difference, fitted on labelled rows that the dictionaries didn't see,
+turns it into a probability.
 
 Fitting takes bounded samples of the labelled rows (``BLOCKS`` blocks a class for the dictionaries, ``ROWS`` rows for the
 calibration), the first by a hash, and only from rows the caller passes for learning; scoring covers all texts.
@@ -22,14 +22,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewire.llm.shared import free_name, saved
+from tidewire.llm.shared import forget, free_name, saved
 
 #: Bytes of a block; blocks of a class that train its dictionary, and bytes of a dictionary; rows that calibrate.
-BLOCK, BLOCKS, DICTIONARY, ROWS = 1024, 4096, 64 * 1024, 20_000
+BLOCK, BLOCKS, DICTIONARY, ROWS = 256, 8192, 64 * 1024, 20_000
 #: Labelled rows that fitting looks at, at most: their ids are broadcast.
 LABELLED = 2 * ROWS
 LEVEL = 3
@@ -37,13 +36,14 @@ LEVEL = 3
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries (None: no text of that class), the means and scales of the features, and the logistic weights."""
+    """Dictionaries (None: no text of that class), the mean and scale of the difference, and the slope and constant of the curve."""
 
     good: bytes | None
     bad: bytes | None
-    shift: tuple[float, ...]
-    scale: tuple[float, ...]
-    weights: tuple[float, ...]
+    shift: float
+    scale: float
+    slope: float
+    constant: float
 
 
 def blocks(text: str | None) -> list[bytes]:
@@ -53,7 +53,7 @@ def blocks(text: str | None) -> list[bytes]:
 
 
 class Sizes:
-    """Compressed sizes of blocks under the two dictionaries and under none."""
+    """Compressed sizes of blocks under the two dictionaries."""
 
     def __init__(self, good: bytes, bad: bytes) -> None:
         found = (zstandard.ZstdCompressionDict(d) for d in (good, bad))
@@ -62,14 +62,11 @@ class Sizes:
             d.precompute_compress(level=LEVEL)
             self.by.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
-    def of(self, text: str | None) -> tuple[float, float, float]:
-        """Normalised difference (positive: nearer to good), compressed bytes per byte under the better side, log of the length."""
+    def difference(self, text: str | None) -> float:
+        """The normalised difference of the sizes: positive where the text is nearer to good ones, 0 without a block."""
         parts = blocks(text)
-        if not parts:
-            return 0.0, 0.0, 0.0
         good, bad = (sum(len(c.compress(p)) for p in parts) for c in self.by)
-        n = sum(map(len, parts))
-        return (bad - good) / (bad + good), min(good, bad) / n, math.log(n)
+        return (bad - good) / (bad + good) if parts else 0.0
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
@@ -91,19 +88,17 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY:] or b"\0"
 
 
-def _sized(rows: DataFrame, text: str, good: bytes, bad: bytes, columns: list[str], names: tuple[str, str, str]) -> DataFrame:
-    """``columns`` of ``rows`` and the three compression features of ``text``."""
-    shared = rows.sparkSession.sparkContext.broadcast((good, bad))
+def differences(text: Column, good: bytes, bad: bytes, spark: SparkSession) -> Column:
+    """The normalised difference of each text's compressed sizes, in Arrow batches."""
+    shared = spark.sparkContext.broadcast((good, bad))
 
-    @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("difference", "rate", "length")]))
-    def sizes(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        s = Sizes(*shared.value)
+    @F.pandas_udf("double")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sizes = Sizes(*shared.value)
         for part in texts:
-            yield pd.DataFrame([s.of(t) for t in part], columns=["difference", "rate", "length"])
+            yield pd.Series([sizes.difference(t) for t in part], dtype="float64")
 
-    made = free_name(rows, "compression")
-    out = rows.withColumn(made, sizes(F.col(text)))
-    return out.select(*[F.col(f"`{c}`") for c in columns], *[F.col(made)[c].alias(n) for c, n in zip(("difference", "rate", "length"), names)])
+    return of(text)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label") -> DataFrame:
@@ -124,35 +119,43 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", order: st
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(order), F.col(text)).alias("h")).filter("label in (0, 1)")
     shares = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = shares.get(0, 0), shares.get(1, 0)
-    dull = Model(None, None, (0.0,) * 3, (1.0,) * 3, (0.0, 0.0, 0.0, math.log((n1 + 0.5) / (n0 + 0.5)) if n0 + n1 else 0.0))
+    dull = Model(None, None, 0.0, 1.0, 0.0, math.log((n1 + 0.5) / (n0 + 0.5)) if n0 + n1 else 0.0)
     if not n0 or not n1:
         return dull
     cut = F.expr(f"transform(sequence(0, greatest(0, (octet_length(text) - 1) div {BLOCK})), i -> substring(cast(text as binary), i * {BLOCK} + 1, {BLOCK}))")
     half = F.pmod(F.col("h"), F.lit(2))
-    pieces = rows.filter((half == 0) & (F.length("text") > 0)).select("label", "h", F.posexplode(cut).alias("i", "block"))
-    chosen = {k: [bytes(r["block"]) for r in pieces.filter(F.col("label") == k).orderBy(F.xxhash64("h", "i"), "h", "i").limit(BLOCKS).select("block").collect()] for k in (0, 1)}
-    if not chosen[0] or not chosen[1]:
+    pieces = saved(rows.filter((half == 0) & (F.length("text") > 0)).select("label", F.posexplode(cut).alias("i", "block"), "h").withColumn("order", F.xxhash64("h", "i")), "blocks")
+    found = {r["label"]: r["n"] for r in pieces.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(found) < 2:
         return dull
+    chosen = {k: [bytes(r["block"]) for r in _first(pieces.filter(F.col("label") == k), n, BLOCKS, ["order", "h", "i"]).select("block").collect()] for k, n in found.items()}
+    forget(pieces)
     good, bad = _dictionary(chosen[1]), _dictionary(chosen[0])
     held = rows.filter(half == 1).orderBy("h").limit(ROWS)
-    found = _sized(held, "text", good, bad, ["label"], ("difference", "rate", "length")).toPandas()
-    x, y = found[["difference", "rate", "length"]].to_numpy(), found["label"].to_numpy(dtype=float)
+    seen = held.select("label", differences(F.col("text"), good, bad, labelled.sparkSession).alias("difference")).toPandas()
+    x, y = seen["difference"].to_numpy(), seen["label"].to_numpy(dtype=float)
     if len(set(y)) < 2:
         return dull
-    shift, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights = _logistic((x - shift) / scale, y)
-    return Model(good, bad, tuple(map(float, shift)), tuple(map(float, scale)), tuple(map(float, weights)))
+    shift, scale = float(x.mean()), float(x.std()) + 1e-9
+    slope, constant = map(float, _logistic((x[:, None] - shift) / scale, y))
+    return Model(good, bad, shift, scale, slope, constant)
+
+
+def _first(rows: DataFrame, n: int, most: int, order: list[str]) -> DataFrame:
+    """The first ``most`` of ``n`` rows by a hash and what breaks its ties.
+
+    Rows far beyond what the first ones can reach in the hash are left out before, so that each task hands over its share only.
+    """
+    share = min(1.0, 2.0 * most / n + 64.0 / n)
+    near = rows.filter(F.col(order[0]) <= int(share * (1 << 64)) - (1 << 63) - 1) if share < 1 else rows
+    return near.orderBy(*order).limit(most)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 for each whole text, in Arrow batches and without a shuffle."""
     name = free_name(docs, score)
     if model.good is None or model.bad is None:
-        return docs.withColumn(name, F.lit(1 / (1 + math.exp(-model.weights[-1]))))
-    keys = ["difference", "rate", "length"]
-    names = tuple(free_name(docs, f"{name}_{k}") for k in keys)
-    out = _sized(docs, text, model.good, model.bad, docs.columns, names)
-    logit = F.lit(model.weights[-1])
-    for column, shift, scale, weight in zip(names, model.shift, model.scale, model.weights):
-        logit = logit + (F.col(column) - F.lit(shift)) / F.lit(scale) * F.lit(weight)
-    return out.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).drop(*names)
+        return docs.withColumn(name, F.lit(1 / (1 + math.exp(-model.constant))))
+    difference = differences(F.col(text), model.good, model.bad, docs.sparkSession)
+    logit = (F.col(name) - F.lit(model.shift)) / F.lit(model.scale) * F.lit(model.slope) + F.lit(model.constant)
+    return docs.withColumn(name, difference).withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)))
