@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,11 @@ WHITE = " \t\n\x0b\f\r"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode a temporary one where that is unset."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not named:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewire-"))
         named = sc.getCheckpointDir()
@@ -29,9 +33,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewire_path = path
+    for tables in _recorders:
+        tables.append(out)
     return out
 
 
+_recorders: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def recorded(tables: list[DataFrame]) -> Iterator[None]:
+    """What ``saved`` writes meanwhile is added to ``tables``, for whoever knows when nothing reads it any more."""
+    _recorders.append(tables)
+    try:
+        yield
+    finally:
+        _recorders.remove(tables)
+
+
 def forget(df: DataFrame | None) -> None:
     """Delete what ``saved`` wrote for ``df``; nothing may read it afterwards."""
     path = getattr(df, "_tidewire_path", None)

@@ -45,6 +45,11 @@ TIMES = np.random.default_rng(42).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype
 PLUS = np.random.default_rng(43).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 #: Fingerprints of a bucket that are still compared pair by pair.
 CROWDED = 64
+#: Minima in whose low four bits two texts may differ at most to be compared over their sets. At a similarity of 0.8 each differs
+#: with a chance of 0.19, and more than 26 of 64 do for 2 in 100,000 pairs; at one of 0.5, half of the pairs go.
+APART = 26
+#: One in so many of the pairs is compared before the others.
+EARLY = 5
 #: Members of a block in a bucket that stays crowded after its split.
 BLOCKED = 16
 #: Shingles whose bits are counted at a time, which bounds memory for long texts.
@@ -162,16 +167,17 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(31)))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A value for each of ``BANDS`` groups of ``ROWS`` minima over the shingles; two texts share one with the chance
-    similarity to the power of ROWS."""
+def bands(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A value for each of ``BANDS`` groups of ``ROWS`` minima over the shingles, of which two texts share one with the chance
+    similarity to the power of ROWS; and the low four bits of each minimum, sixteen of them in a number."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype="<u8")
     for at in range(0, len(found), 1 << 13):
         least = np.minimum(least, (found[None, at : at + (1 << 13)] * TIMES[:, None] + PLUS[:, None]).min(axis=1))
+    low = ((least & np.uint64(15)).reshape(-1, 16) << np.arange(0, 64, 4, dtype="<u8")).sum(axis=1, dtype="<u8").view("<i8")
     least, out = least.reshape(BANDS, ROWS), np.arange(1, BANDS + 1, dtype="<u8")
     for r in range(ROWS):
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + least[:, r]
-    return (out ^ (out >> np.uint64(31))).view("<i8")
+    return (out ^ (out >> np.uint64(31))).view("<i8"), low
 
 
 def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
@@ -212,10 +218,23 @@ def _hub_pairs(opened: DataFrame) -> DataFrame:
     return opened.filter(ok).select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"))
 
 
-def _all_pairs(rows: DataFrame, on: list[str]) -> DataFrame:
+def _apart(a: Column, b: Column) -> Column:
+    """In how many minima two texts differ, by four bits of each."""
+    total = F.lit(0)
+    for i in range(BANDS * ROWS // 16):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        for shift in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def _all_pairs(rows: DataFrame, nodes: DataFrame, on: list[str]) -> DataFrame:
+    rows = rows.join(nodes.select("node", "low"), "node")
     a, b = rows.alias("a"), rows.alias("b")
     meet = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
     ok = (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _sizes_allow(F.col("a.n"), F.col("b.n"))
+    ok = ok & (_apart(F.col("a.low"), F.col("b.low")) <= APART)
     return a.join(b, meet).filter(ok).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
 
@@ -239,30 +258,38 @@ def similar_links(docs: DataFrame, nodes: DataFrame, key: str, text: str, crowde
     both = crowd.join(nodes.select("node", F.explode("bands").alias("c")), "node").filter("b <> c")
     again = _open(both.select(F.xxhash64(F.least("b", "c"), F.greatest("b", "c")).alias("bucket"), "node", "n", "root").distinct())
     blocks = again.filter(F.col("members") > crowded).withColumn("block", F.pmod(F.xxhash64("bucket", "node"), F.ceil(F.col("members") / BLOCKED)))
-    pairs = _all_pairs(opened.filter(F.col("members") <= crowded), ["bucket"]).union(_all_pairs(again.filter(F.col("members") <= crowded), ["bucket"]))
-    pairs = pairs.union(_all_pairs(blocks, ["bucket", "block"])).union(_hub_pairs(blocks)).distinct().join(first, ["u", "v"], "left_anti")
-    return found.union(similar(saved(pairs, "candidates"), docs, nodes, key, text))
+    pairs = _all_pairs(opened.filter(F.col("members") <= crowded), nodes, ["bucket"]).union(_all_pairs(again.filter(F.col("members") <= crowded), nodes, ["bucket"]))
+    pairs = pairs.union(_all_pairs(blocks, nodes, ["bucket", "block"])).union(_hub_pairs(blocks)).distinct().join(first, ["u", "v"], "left_anti")
+    pairs = saved(pairs, "candidates")
+    # Of crowded groups a part of the pairs connects most members; the other pairs inside what is connected then can go.
+    early = F.pmod(F.xxhash64("u", "v"), F.lit(EARLY)) == 0
+    found = saved(found.union(similar(pairs.filter(early), docs, nodes, key, text)), "links")
+    roots = components(found)
+    side = lambda c: roots.select(F.col("u").alias(c), F.col("root").alias(f"root_{c}"))
+    late = pairs.filter(~early).join(side("u"), "u", "left").join(side("v"), "v", "left")
+    late = late.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+    return found.union(similar(saved(late, "candidates"), docs, nodes, key, text))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the least id.
 
     Two texts are linked if the Jaccard similarity of their sets of 5-word shingles is 0.8 or more. Candidates share one of
-    ``BANDS`` values of ``ROWS`` minima (at a similarity of 0.8 all but 0.0003 of them do), and every link is checked over the
-    sets. Texts with equal sets are one node; those without a word are all equal.
+    ``BANDS`` values of ``ROWS`` minima (at a similarity of 0.8 all but 0.0003 of them do); those that differ in too many minima
+    (at 0.8, 0.00002 of them) go, and every link is checked over the sets. Texts with equal sets are one node; those without a word are all equal.
     """
 
-    @F.pandas_udf("struct<node: long, n: long, bands: array<long>>")
+    @F.pandas_udf("struct<node: long, n: long, bands: array<long>, low: array<long>>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             sets = [shingles(t) for t in part]
-            made = [(xxhash.xxh3_64_intdigest(s.tobytes()), len(s), bands(s)) for s in sets]
-            yield pd.DataFrame({"node": np.array([m[0] for m in made], dtype="<u8").view("<i8"), "n": [m[1] for m in made], "bands": [m[2] for m in made]})
+            made = [(xxhash.xxh3_64_intdigest(s.tobytes()), len(s), *bands(s)) for s in sets]
+            yield pd.DataFrame({"node": np.array([m[0] for m in made], dtype="<u8").view("<i8"), "n": [m[1] for m in made], "bands": [m[2] for m in made], "low": [m[3] for m in made]})
 
     k1, k2 = _row_keys(key, text)
     base = docs.select(F.struct(F.col(key).alias("key"), k1.alias("k1"), k2.alias("k2")).alias("row"), of(F.col(text)).alias("p"))
     base = saved(base.select("row", "p.*"), "fingerprints")
-    nodes = saved(base.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("row").alias("row")), "nodes")
+    nodes = saved(base.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.min("row").alias("row")), "nodes")
     roots = components(similar_links(docs, nodes, key, text))
     grouped_rows = nodes.join(roots, nodes["node"] == roots["u"], "left").select("row", F.coalesce("root", "node").alias("root"))
     kept = grouped_rows.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2"))
