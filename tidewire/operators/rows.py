@@ -7,13 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have yet, whatever its case."""
+    taken, name = {c.lower() for c in df.columns}, f"_{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
 
 def newest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key. Spark cuts each partition to n a key before it shuffles."""
-    return numbered(df, keys, order, "_rn").filter(F.col("_rn") <= n).drop("_rn")
+    rn = free_name(df, "rn")
+    return numbered(df, keys, order, rn).filter(F.col(rn) <= n).drop(rn)
 
 
 def change_status(df: DataFrame, keys: list[str], order: list[Column], value: Column) -> DataFrame:
@@ -25,19 +34,24 @@ def change_status(df: DataFrame, keys: list[str], order: list[Column], value: Co
 
 def streaks(df: DataFrame, keys: list[str], order: list[Column], failed: Column, limit: int = 3) -> DataFrame:
     """``streak``: failures in a row up to each row, 0 after a success; ``disabled`` from ``limit`` on."""
-    over = W.partitionBy(*keys).orderBy(*order)
-    marked = df.withColumn("_failed", failed).withColumn("_island", F.sum(F.when(F.col("_failed"), 0).otherwise(1)).over(over))
-    run = W.partitionBy(*keys, "_island").orderBy(*order)
-    streak = F.when(F.col("_failed"), F.sum(F.when(F.col("_failed"), 1).otherwise(0)).over(run)).otherwise(0)
-    return marked.withColumn("streak", streak).withColumn("disabled", F.col("streak") >= limit).drop("_failed", "_island")
+    over, bad, island = W.partitionBy(*keys).orderBy(*order), free_name(df, "failed"), free_name(df, "island")
+    marked = df.withColumn(bad, failed).withColumn(island, F.sum(F.when(F.col(bad), 0).otherwise(1)).over(over))
+    run = W.partitionBy(*keys, island).orderBy(*order)
+    streak = F.when(F.col(bad), F.sum(F.when(F.col(bad), 1).otherwise(0)).over(run)).otherwise(0)
+    return marked.withColumn("streak", streak).withColumn("disabled", F.col("streak") >= limit).drop(bad, island)
 
 
 def limited(df: DataFrame, key: str, most: int, since, time: str = "created_at", id_: str = "id") -> DataFrame:
-    """One limit rule: of the ``ok`` rows of a key since a time, those beyond the newest ``most`` are rejected."""
-    eligible = (F.col("status") == "ok") & (F.col(time) >= since)
-    rn = F.sum(F.when(eligible, 1).otherwise(0)).over(W.partitionBy(key).orderBy(F.desc(time), F.desc(id_)))
-    over = eligible & (rn > most)
-    return df.withColumn("_over", over).withColumn("status", F.when(F.col("_over"), "rejected").otherwise(F.col("status"))).withColumn("reject_reason", F.when(F.col("_over"), "noise_limit").otherwise(F.col("reject_reason"))).drop("_over")
+    """One limit rule: of the ``ok`` rows of a key since a time, those beyond the newest ``most`` are rejected.
+
+    Spark keeps ``most`` eligible rows of a key in each partition before it shuffles, and only these, by their ids, meet the
+    table again; a key with very many rows doesn't meet in one task. Ids are unique; rows with a null key are one group.
+    """
+    kept, over, ok = free_name(df, "kept"), free_name(df, "over"), (F.col("status") == "ok") & (F.col(time) >= since)
+    newest_rows = newest(df.filter(ok).select(key, time, id_), [key], [F.desc(time), F.desc(id_)], most).select(F.col(id_), F.lit(True).alias(kept))
+    out = df.join(newest_rows, id_, "left").withColumn(over, F.coalesce(ok, F.lit(False)) & F.col(kept).isNull())
+    status, reason = F.when(F.col(over), "rejected").otherwise(F.col("status")), F.when(F.col(over), "noise_limit").otherwise(F.col("reject_reason"))
+    return out.withColumn("reject_reason", reason).withColumn("status", status).select(*df.columns)
 
 
 def insert_ignore(new: DataFrame, stored: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -79,9 +79,10 @@ def _items(spark, d):
     return read(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", F.col("ts").alias("created_at"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reject_reason"))
 
 
-def _since(df, days):
-    last = df.agg(F.max("created_at").alias("t")).first()["t"]  # one value: the run's time
-    return F.lit(last) - F.expr(f"interval {days} days")
+def _recent(df, days):
+    """``df`` with the start of its look-back: a one-row table beside it, not a job of its own while the plan is made."""
+    last = df.agg((F.max("created_at") - F.expr(f"interval {days} days")).alias("since"))
+    return df.crossJoin(F.broadcast(last))
 
 
 def _limit_sql(key: str) -> str:
@@ -93,14 +94,12 @@ select event_id as id, case when eligible and rn > 3 then 'rejected' else 'ok' e
 
 @query(_limit_sql("user_id"))
 def anti_noise_user(spark, d):
-    df = _items(spark, d)
-    return rows.limited(df, "user_id", 3, _since(df, 7)).select("id", "status")
+    return rows.limited(_recent(_items(spark, d), 7), "user_id", 3, F.col("since")).select("id", "status")
 
 
 @query(_limit_sql("event_type"))
 def anti_noise_type(spark, d):
-    df = _items(spark, d)
-    return rows.limited(df, "event_type", 3, _since(df, 7)).select("id", "status")
+    return rows.limited(_recent(_items(spark, d), 7), "event_type", 3, F.col("since")).select("id", "status")
 
 
 @query("""
@@ -110,10 +109,9 @@ b as (select *, eligible and rn > 3 as gone from a),
 c as (select *, row_number() over (partition by event_type, eligible and not gone order by ts desc, event_id desc) as rn2 from b)
 select event_id as id, case when gone or (eligible and rn2 > 20) then 'rejected' else 'ok' end as status, case when gone or (eligible and rn2 > 20) then 'noise_limit' end as reject_reason from c""")
 def anti_noise_chain(spark, d):
-    df = _items(spark, d)
-    since = _since(df, 7)
+    df = _recent(_items(spark, d), 7)
     for key, most in (("user_id", 3), ("event_type", 20)):
-        df = rows.limited(df, key, most, since)
+        df = rows.limited(df, key, most, F.col("since"))
     return df.select("id", "status", "reject_reason")
 
 
@@ -221,7 +219,7 @@ def dedup_key(spark, d):
 @query(f"select min(doc_id) as doc_id, {_DEDUP} as dedup_key from documents group by all")
 def dedup_first_wins(spark, d):
     keyed = read(spark, d, "documents").select("doc_id", values.dedup_key(F.col("lang"), F.col("source"), title=F.col("text")).alias("dedup_key"))
-    return keyed.groupBy("dedup_key").agg(F.min("doc_id").alias("doc_id"))
+    return rows.insert_ignore(keyed, keyed.limit(0), ["dedup_key"], [F.asc("doc_id")])
 
 
 _REASON = "case " + " ".join(f"when contains(lower(coalesce(text, '')), '{p}') then '{r}'" for p, r in PHRASES) + " end"
@@ -381,11 +379,11 @@ def route_alerts(spark, d):
     return _routed(spark, d)
 
 
-@query(f"{_ROUTED} select event_id, user_id, channel_id, case when mode = 'instant' then 'sent' else 'queued' end as status from routed where event_id % 5 <> 0")
+@query(f"{_ROUTED} select event_id, user_id, channel_id, case when mode = 'instant' then 'sent' else 'queued' end as status from routed where not (event_id % 5 = 0 and user_id = 10 or event_id % 7 = 0 and channel_id = 2)")
 def alerts_insert_ignore(spark, d):
     found = _routed(spark, d)
-    stored = read(spark, d, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("event_id"))
-    new = found.join(stored, "event_id", "left_anti")
+    stored = found.filter("event_id % 5 = 0 and user_id = 10 or event_id % 7 = 0 and channel_id = 2")
+    new = rows.insert_ignore(found, stored, ["event_id", "user_id", "channel_id"], [F.asc("mode")])
     return new.select("event_id", "user_id", "channel_id", rules.delivery(F.col("mode"), F.lit("email"), F.lit(None).cast("boolean"), deliver=False).alias("status"))
 
 
@@ -472,10 +470,11 @@ def priority_feed(spark, d):
     return mart.feed(_mart(spark, d), "day", "priority")
 
 
-@query("""select conv_id, string_agg(text, chr(10) || chr(10) order by turn) as body, count(*) as parts, count(*) filter (trim(coalesce(text, '')) = '') as dropped from conversations group by conv_id""")
+@query("""select conv_id, coalesce(string_agg(text, chr(10) || chr(10) order by turn) filter (trim(coalesce(text, '')) <> ''), '') as body, count(*) as parts, count(*) filter (trim(coalesce(text, '')) = '') as dropped from conversations group by conv_id""")
 def chunk_concat(spark, d):
-    turns = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"), F.count("*").alias("parts"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("dropped"))
-    return turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("body"), "parts", "dropped")
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    parts = F.array_sort(F.collect_list(F.when(~blank, F.struct("turn", "text"))))
+    return read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("body"), F.count("*").alias("parts"), F.count_if(blank).alias("dropped"))
 
 
 @query("select c_custkey, case c_nationkey % 2 when 0 then c_mktsegment || '*' else c_mktsegment end as c_mktsegment from customer")
@@ -485,6 +484,7 @@ def patch_rows(spark, d):
     return rows.patched(customer, patch, "c_custkey", ["c_mktsegment"]).select("c_custkey", "c_mktsegment")
 
 
-@query("select o_orderkey from orders where o_custkey is not null and o_custkey not in (select c_custkey from customer)")
+@query("select o_orderkey from orders where o_custkey is not null and o_custkey not in (select c_custkey from customer where c_custkey % 10 <> 1)")
 def orphan_orders(spark, d):
-    return rows.orphans(read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", read(spark, d, "customer"), "c_custkey").select("o_orderkey")
+    customer = read(spark, d, "customer").filter("c_custkey % 10 <> 1")
+    return rows.orphans(read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", customer, "c_custkey").select("o_orderkey")
