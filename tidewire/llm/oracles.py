@@ -112,10 +112,11 @@ l as (
 s as (select *, row_number() over (partition by doc_id order by i) as pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from l),
 v as (
   select t.k, s.doc_id, s.pos, string_agg(o.line, chr(10) order by o.pos) as body, sum(o.n) as n
-  from s, (values (1), (2), (3), (4)) as t(k), s as o
+  from s, (values (1), (2)) as t(k), s as o
   where o.doc_id = s.doc_id and o.pos between s.pos and s.pos + t.k - 1 group by t.k, s.doc_id, s.pos having count(*) = t.k),
 later as (
-  select * from (select *, row_number() over (partition by k, body order by doc_id, pos) as nth from v) where nth > 1 and (k = 4 or n >= 50)),
+  select * from (select *, row_number() over (partition by k, body order by doc_id, pos) as nth, count(*) over (partition by k, body) as copies from v)
+  where nth > 1 and (k = 2 or n >= 50 or copies >= 10)),
 gone as (
   select doc_id, list_sort(list(distinct s.i)) as gone, list_sort(list(distinct s.pos)) as spots from (select doc_id, unnest(range(pos, pos + k)) as pos from later) x
   join s using (doc_id, pos) group by doc_id),
