@@ -179,7 +179,7 @@ def register_card(text: Column) -> Column:
     first = F.regexp_extract(between(text, "Дата регистрации", "Правовая форма (ОКОПФ)"), r"\d{2}\.\d{2}\.\d{4}", 0)
     where = city(between(text, "Адрес по данным ЕГРЮЛ", "Дата регистрации"))
     ends = "Дата внесения данных в ЕГРЮЛ"
-    block = between(text, "Единоличный исполнительный орган", ends)
+    block = F.btrim(between(text, "Единоличный исполнительный орган", ends), F.lit(" \n"))
     entered = F.regexp_extract(text, ends + r"\n(\d{2}\.\d{2}\.\d{4})", 1)
     director = F.concat_ws("\n", block, F.lit(ends), F.nullif(entered, F.lit("")))
     return F.struct(F.nullif(first, F.lit("")).alias("published_at"), where.alias("region"), F.when(block.isNotNull(), director).alias("extra"))
