@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire.functions.targets import city_aliases
 from tidewire.functions.values import content_hash
 
 SNAPSHOT = """
@@ -17,28 +21,145 @@ items array<struct<url: string, title: string, text: string, published_at: strin
 def write_snapshots(df: DataFrame, path: str, stored: DataFrame | None = None) -> DataFrame:
     """Append snapshots as JSON under year, month, day and trigger; items that are stored already aren't written again.
 
-    Returns what was written.
+    Returns what was written, read from the store by the ids written: the new snapshots are computed once, and the answer
+    doesn't change when the folder does.
     """
     new = df.withColumn("content_hash", content_hash(F.col("items"))).dropDuplicates(["content_hash"])
     if stored is not None:
         new = new.join(stored.select(content_hash(F.col("items")).alias("content_hash")), "content_hash", "left_anti")
     at = F.to_timestamp("meta.fetched_at")
     parts = {"year": F.date_format(at, "yyyy"), "month": F.date_format(at, "MM"), "day": F.date_format(at, "dd"), "trigger": F.coalesce(F.col("meta.trigger"), F.lit("none"))}
+    before = _files(df.sparkSession, path)
     new.drop("content_hash").withColumns(parts).write.mode("append").partitionBy(*parts).json(path)
-    return new
+    added = sorted(_files(df.sparkSession, path) - before)
+    spark = df.sparkSession
+    return spark.read.schema(SNAPSHOT).json(added) if added else spark.createDataFrame([], SNAPSHOT)
+
+
+def _files(spark: SparkSession, path: str) -> set[str]:
+    """The files of a store, by Hadoop's listing, which any file system has."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return set()
+    found, files = set(), system.listFiles(folder, True)
+    while files.hasNext():
+        name = files.next().getPath()
+        if name.getName().startswith("part-"):
+            found.add(name.toString())
+    return found
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT).json(path).withColumn("file", F.col("_metadata.file_path"))
 
 
+def snapshots_of(stored: DataFrame, raw_id: str | None = None, trigger: str | None = None, status: str | None = None, items: Column | None = None) -> DataFrame:
+    """Stored snapshots by id, trigger, status (``pending`` where none is set), or with equal items; None doesn't filter."""
+    out = stored if raw_id is None else stored.filter(F.col("raw_id") == raw_id)
+    out = out if trigger is None else out.filter(F.col("meta.trigger") == trigger)
+    out = out if status is None else out.filter(F.coalesce("meta.status", F.lit("pending")) == status)
+    return out if items is None else out.filter(content_hash(F.col("items")) == content_hash(items))
+
+
+def with_status(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """``stored`` with the status that ``changes`` (raw_id, status) names: the one field of a snapshot that may change.
+
+    Changes are a table beside the store, so no file is written again; of a snapshot's changes the caller keeps the last.
+    """
+    new = changes.select("raw_id", F.col("status").alias("_status"))
+    out = stored.join(new, "raw_id", "left")
+    return out.withColumn("meta", F.col("meta").withField("status", F.coalesce("_status", "meta.status"))).select(*stored.columns)
+
+
 def read_dictionary(spark: SparkSession, path: str, key: str) -> DataFrame:
     """A CSV dictionary with a header row; rows without a key are left out."""
     return spark.read.csv(path, header=True).filter(F.btrim(key) != "")
 
 
+def resolved(rows: DataFrame, names: dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """Dictionary rows with names replaced by ids: {id column: (name column, dimension with id and name)}; unknown names give null."""
+    for column, (name, dim) in names.items():
+        ids = dim.groupBy(F.col("name").alias(name)).agg(F.min("id").alias(column))
+        rows = rows.join(ids, name, "left").drop(name)
+    return rows
+
+
+def regions(spark: SparkSession, path: str) -> DataFrame:
+    """(name_display, name_aliases, latitude, longitude) of a JSON list of cities: the first entry of a name counts, and its
+    aliases are its own and the usual ones."""
+    rows = spark.read.schema("name string, aliases array<string>, coords struct<lat: string, lon: string>, pos long").option("multiLine", True).json(path)
+    first = W.partitionBy("name").orderBy(F.col("pos").asc_nulls_last())
+    rows = rows.filter(F.btrim("name") != "").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    aliases = F.array_distinct(F.concat(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a)), city_aliases(F.col("name"))))
+    return rows.select(F.col("name").alias("name_display"), aliases.alias("name_aliases"), F.col("coords.lat").try_cast("double").alias("latitude"), F.col("coords.lon").try_cast("double").alias("longitude"))
+
+
 def replace_table(df: DataFrame, path: str, version: str) -> str:
     """Write a table as a new version beside the others, and return its place; a reader changes over by that name."""
     place = f"{path.rstrip('/')}/version={version}"
     df.write.mode("errorifexists").parquet(place)
     return place
+
+
+def cleared(spark: SparkSession, places: list[str]) -> list[str]:
+    """Empty the tables of a layer and those made from it, in the order given: each gets an empty version. Returns their places."""
+    return [replace_table(spark.read.parquet(place).limit(0), place.rsplit("/version=", 1)[0], f"{place.rsplit('/version=', 1)[-1]}-cleared") for place in places]
+
+
+def is_filled(df: DataFrame, active: bool = False) -> bool:
+    """Whether a layer has rows (active ones): what a stage looks at before it starts. One row is read, not counted."""
+    return not (df.filter("is_active") if active else df).isEmpty()
+
+
+def delivered(rows: DataFrame, send: Callable[[dict], None] | None = None) -> None:
+    """Hand each row to an injected sender, partition by partition; without one nothing is sent."""
+
+    def each(part) -> None:
+        for row in part:
+            send(row.asDict(recursive=True))
+
+    if send is not None:
+        rows.foreachPartition(each)
+
+
+#: Parsers of sources by name: functions from pages (url, html) to snapshot items.
+PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def parser(name: str) -> Callable:
+    """Register a parser under the name of its source."""
+
+    def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        PARSERS[name] = f
+        return f
+
+    return add
+
+
+def parsed(pages: DataFrame, source: str) -> DataFrame:
+    if source not in PARSERS:
+        raise ValueError(f"no parser for {source}; known: {', '.join(sorted(PARSERS)) or 'none'}")
+    return PARSERS[source](pages)
+
+
+def scenario(spark: SparkSession, n: int, competitors: list[str], regions_: list[str]) -> DataFrame:
+    """``n`` made snapshots with everything a run must stand: tags, entities, three forms of dates, regions in either case, empty
+    snapshots, missing titles, repeated items, and errors. The same for the same arguments."""
+    i = F.col("id")
+    pick = lambda xs, step: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.floor(i / step) % len(xs) + 1).cast("int"))
+    day = F.date_add(F.lit("2026-06-01").cast("date"), (i % 28).cast("int"))
+    published = F.when(i % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(i % 3 == 1, F.date_format(day, "dd.MM.yyyy")).otherwise(F.concat(F.dayofmonth(day).cast("string"), F.lit(" июня 2026")))
+    region = F.when(i % 2 == 0, F.upper(pick(regions_, 1))).otherwise(pick(regions_, 1))
+    title = F.when(i % 11 == 0, "").when(i % 4 == 0, F.concat(F.lit("<b>Событие</b> &laquo;"), (i % 50).cast("string"), F.lit("&raquo;"))).otherwise(F.concat(F.lit("Событие «"), (i % 50).cast("string"), F.lit("»")))
+    item = F.struct(
+        F.concat(F.lit("https://www.news"), (i % 5).cast("string"), F.lit(".ru/a/"), i.cast("string")).alias("url"), title.alias("title"), F.concat(F.lit("Текст&nbsp;"), i.cast("string")).alias("text"),
+        published.alias("published_at"), region.alias("region"), F.lit("Новости").alias("media_name"), F.create_map().cast("map<string,string>").alias("extra"),
+    )
+    empty = i % 9 == 0
+    meta = F.struct(
+        (i % 7).alias("search_task_id"), F.lit("news").alias("source"), pick(competitors, 3).alias("competitor"), F.concat(F.lit("t"), (i % 2).cast("string")).alias("trigger"), F.lit(None).cast("string").alias("source_request_url"),
+        F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss").alias("fetched_at"), F.when(empty, 0).otherwise(1).alias("items_count"), F.when(empty, "no_extractable_items").alias("empty_reason"), F.when(i % 13 == 0, "error").otherwise("new").alias("status"),
+    )
+    items = F.when(empty, F.array().cast("array<struct<url: string, title: string, text: string, published_at: string, region: string, media_name: string, extra: map<string, string>>>")).otherwise(F.array(item))
+    return spark.range(n).select(F.concat(F.lit("raw_"), i.cast("string")).alias("raw_id"), meta.alias("meta"), items.alias("items"))
