@@ -48,6 +48,9 @@ CROWDED = 64
 #: Minima in whose low four bits two texts may differ at most to be compared over their sets. At a similarity of 0.8 each differs
 #: with a chance of 0.19, and more than 26 of 64 do for 2 in 100,000 pairs; at one of 0.5, half of the pairs go.
 APART = 26
+#: Bands by which a crowded bucket is split: those that follow its own, on a ring. Of pairs at a similarity of 0.8 that meet in
+#: crowded buckets alone, 0.004 share no two bands so near each other.
+FURTHER = 5
 #: One in so many of the pairs is compared before the others.
 EARLY = 5
 #: Members of a block in a bucket that stays crowded after its split.
@@ -247,15 +250,17 @@ def similar_links(docs: DataFrame, nodes: DataFrame, key: str, text: str, crowde
     """(u, v): links of similarity ``SIMILAR`` or more between ``nodes`` (node, n, bands, row), that connect all which share a bucket.
 
     First each node meets the first one of each of its buckets. What is connected then needs no more pairs; buckets that still
-    hold several groups compare their members pair by pair. Those with over ``crowded`` members are split by each further band
-    first, and what is crowded even then meets in blocks, besides the first.
+    hold several groups compare their members pair by pair. Those with over ``crowded`` members are split by the bands that
+    follow theirs first, and what is crowded even then meets in blocks, besides the first.
     """
     posted = saved(nodes.filter("n > 0").select("node", "n", F.explode("bands").alias("bucket")), "postings")
     first = _hub_pairs(_open(posted.withColumn("root", F.col("node")))).distinct()
     found = similar(saved(first, "candidates"), docs, nodes, key, text)
     opened = _open(_rooted(posted, components(found)))
     crowd = opened.filter(F.col("members") > crowded).select(F.col("bucket").alias("b"), "node", "n", "root")
-    both = crowd.join(nodes.select("node", F.explode("bands").alias("c")), "node").filter("b <> c")
+    own = crowd.join(nodes.select("node", "bands"), "node").withColumn("at", F.array_position("bands", F.col("b")).cast("int"))
+    further = F.transform(F.sequence(F.lit(0), F.lit(FURTHER - 1)), lambda i: F.get("bands", (F.col("at") + i) % BANDS))
+    both = own.select("b", "node", "n", "root", F.explode(further).alias("c"))
     again = _open(both.select(F.xxhash64(F.least("b", "c"), F.greatest("b", "c")).alias("bucket"), "node", "n", "root").distinct())
     blocks = again.filter(F.col("members") > crowded).withColumn("block", F.pmod(F.xxhash64("bucket", "node"), F.ceil(F.col("members") / BLOCKED)))
     pairs = _all_pairs(opened.filter(F.col("members") <= crowded), nodes, ["bucket"]).union(_all_pairs(again.filter(F.col("members") <= crowded), nodes, ["bucket"]))
