@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import compression_quality, crf_language, curriculum, line_runs, oracles, permutation_index, sentencepiece_agenda, simhash, suffix_merge, url_rules, weak_supervision
+from tidewire.llm import compression_quality, crf_language, curriculum, line_runs, oracles, permutation_index, sentencepiece_agenda, simhash, spelling_variants, suffix_merge, url_rules, weak_supervision
 from tidewire.llm.shared import forget, n_words, read, saved
 
 
@@ -79,6 +79,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_agenda.digests(docs, piece_model_bytes())
 
 
-QUERIES = {"op1_permutation_index": op1_permutation_index, "op2_simhash": op2_simhash, "op3_suffix_merge": op3_suffix_merge, "op4_crf": op4_crf, "op5_line_runs": op5_line_runs, "op6_url_rules": op6_url_rules, "op7_weak_supervision": op7_weak_supervision, "op8_curriculum": op8_curriculum, "op9_sentencepiece": op9_sentencepiece, "op10_compression": op10_compression}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(read(spark, sf_dir, "documents").select("doc_id", "text")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = {"op1_permutation_index": op1_permutation_index, "op2_simhash": op2_simhash, "op3_suffix_merge": op3_suffix_merge, "op4_crf": op4_crf, "op5_line_runs": op5_line_runs, "op6_url_rules": op6_url_rules, "op7_weak_supervision": op7_weak_supervision, "op8_curriculum": op8_curriculum, "op9_sentencepiece": op9_sentencepiece, "op10_compression": op10_compression, "op13_spelling_variants": op13_spelling_variants}
 
 ORACLE_SQL: dict[str, str] = {"op5_line_runs": oracles.LINES, "op6_url_rules": oracles.URLS, "op7_weak_supervision": oracles.quality_sql(), "op8_curriculum": oracles.MIX}
