@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import compression_quality, crf_language, curriculum, line_runs, oracles, packing, permutation_index, sentencepiece_agenda, simhash, spelling_variants, suffix_merge, url_rules, weak_supervision
+from tidewire.llm import compression_quality, crf_language, curriculum, line_runs, oracles, packing, permutation_index, sentencepiece_agenda, simhash, spelling_variants, suffix_merge, url_rules, weak_supervision, window_alignment
 from tidewire.llm.shared import forget, n_words, read, saved
 
 
@@ -86,6 +86,11 @@ def byte_model_bytes() -> bytes:
         return f.read()
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = window_alignment.counted(read(spark, sf_dir, "documents").select("doc_id", "text"), byte_model_bytes(), piece_model_bytes())
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.packed(read(spark, sf_dir, "documents").select("doc_id", "text"), byte_model_bytes())
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -95,6 +100,6 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(read(spark, sf_dir, "documents").select("doc_id", "text")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
-QUERIES = {"op1_permutation_index": op1_permutation_index, "op2_simhash": op2_simhash, "op3_suffix_merge": op3_suffix_merge, "op4_crf": op4_crf, "op5_line_runs": op5_line_runs, "op6_url_rules": op6_url_rules, "op7_weak_supervision": op7_weak_supervision, "op8_curriculum": op8_curriculum, "op9_sentencepiece": op9_sentencepiece, "op10_compression": op10_compression, "op12_packing": op12_packing, "op13_spelling_variants": op13_spelling_variants}
+QUERIES = {"op1_permutation_index": op1_permutation_index, "op2_simhash": op2_simhash, "op3_suffix_merge": op3_suffix_merge, "op4_crf": op4_crf, "op5_line_runs": op5_line_runs, "op6_url_rules": op6_url_rules, "op7_weak_supervision": op7_weak_supervision, "op8_curriculum": op8_curriculum, "op9_sentencepiece": op9_sentencepiece, "op10_compression": op10_compression, "op11_alignment": op11_alignment, "op12_packing": op12_packing, "op13_spelling_variants": op13_spelling_variants}
 
 ORACLE_SQL: dict[str, str] = {"op5_line_runs": oracles.LINES, "op6_url_rules": oracles.URLS, "op7_weak_supervision": oracles.quality_sql(), "op8_curriculum": oracles.MIX}
