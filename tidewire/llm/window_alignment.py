@@ -3,13 +3,13 @@
 A text is encoded as a whole by both: byte-level pieces (A, over a space and the text) and word-mark pieces (B, which adds the space
 itself). Where a token of each ends at the same byte and the next token of each is marked with a space, the text is cut into
 windows, each a tuple of A ids and a tuple of B ids. The same windows come back all the time, so what is found in one is kept by its
-tuples: the groups (between byte offsets where both sides end), the links (all pairs of A and B tokens of a group), and the check
+tuples (and for a window that is new, what was found in its groups): the groups (between byte offsets where both sides end), the links (all pairs of A and B tokens of a group), and the check
 that both sides spell the same bytes. A document is the sequence of its windows; their bytes, joined, must be the space and the text.
 
 How many documents hold a pair of ids linked is counted over the corpus. Links don't travel: a task deals with its documents in
-blocks (``BLOCK_CHARS``), counts each pair of a block once a document, and writes for each document which windows it has. Pairs of
-blocks, not links of documents, are summed by pair, and the sums go back to their blocks, where a document's figures are the sums
-over its windows. A block has bounded text, whatever the corpus and whatever its keys, and a pair has one row a block.
+blocks (``BLOCK_CHARS``), counts each pair of a block once a document, and writes for each document which of the block's pairs it
+has, as packed numbers. Pairs of blocks, not links of documents, are summed by pair, and the sums go back to their blocks, where a
+document's figures are added up. A block has bounded text, whatever the corpus and its keys, and a pair has one row a block.
 
 Defined results: texts that are null or empty, or that one side doesn't spell byte by byte (those that hold the word mark itself),
 have no tokens: zeros and the empty string. Strings of special tokens are plain text. Repeated rows are documents of their own; an
@@ -19,12 +19,12 @@ empty table gives no rows; columns beside key and text are not read by ``counted
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -35,14 +35,19 @@ from tidewire.llm.sentencepiece_agenda import MARK
 from tidewire.llm.shared import free_name, saved
 
 #: Characters of text after which a block ends; windows that a worker keeps at most (it bounds memory, and changes no result).
-BLOCK_CHARS, KEPT_WINDOWS = 24_000_000, 250_000
-#: Pairs in a row of a block.
-PAIRS_A_ROW = 16_384
+BLOCK_CHARS, KEPT_WINDOWS = 8_000_000, 30_000
+#: Pairs in a row of a block; texts that are encoded at a time; links of a window from which equal ones are counted, not listed.
+PAIRS_A_ROW, TEXTS_AT_ONCE, MANY_LINKS = 16_384, 256, 4_096
 #: A pair of ids is one number: the A id, and the B id in the lower bits.
 SHIFT = 20
 
-#: What is known of a window: its bytes, numbers of groups and links, the groups as text, the pairs and how often each is linked.
-Window = tuple[bytes, int, int, str, tuple[int, ...], tuple[int, ...]]
+ONCE = array("q", [1]).tobytes()
+#: What is added to an id of A where ids of both sides are packed together.
+OF_A = 1 << 30
+
+#: What is known of a window: its bytes, numbers of groups and links, the groups as text, the pairs of its links (packed), and how
+#: often each of them is linked, where that isn't once a pair.
+Window = tuple[bytes, int, int, str, bytes, bytes | None]
 
 
 class Aligner:
@@ -56,73 +61,93 @@ class Aligner:
         self.a_bytes = [self.a.bytes.get(i, b"") for i in range(max(self.a.bytes) + 1)]
         self.a_size, self.b_size = (np.array([len(x) for x in some], np.int64) for some in (self.a_bytes, self.b_bytes))
         self.a_marked, self.b_marked = np.array([x.startswith(b" ") for x in self.a_bytes]), np.array([p.startswith(MARK) for p in pieces])
-        self.known: dict[tuple[bytes, bytes], Window | None] = {}
+        # By packed ids (those of A are flagged): windows seen twice, windows seen once, groups; each starts afresh when it is full.
+        self.known: dict[bytes, Window | bool] = {}
+        self.seen: set[bytes] = set()
+        self.groups: dict[bytes, Window | bool] = {}
         self.kept = KEPT_WINDOWS
 
-    def window(self, a: list[int], b: list[int]) -> Window | None:
-        """The alignment inside a window; None where its sides don't spell the same bytes."""
+    def group(self, key: bytes) -> Window | bool:
+        """A group as a window of its own; False where its sides don't spell the same bytes."""
+        ids = array("I", key).tolist()
+        a, b = [x - OF_A for x in ids if x >= OF_A], [x for x in ids if x < OF_A]
         spelled = b"".join([self.a_bytes[x] for x in a])
         if spelled != b"".join([self.b_bytes[x] for x in b]):
-            return None
-        groups, links, n_links = [], Counter(), 0
-        i = j = from_a = from_b = end_a = end_b = 0
-        while i < len(a):
-            end_a += len(self.a_bytes[a[i]])
-            i += 1
-            while end_b < end_a:
-                end_b += len(self.b_bytes[b[j]])
-                j += 1
-            if end_a == end_b:
-                own_a, own_b = a[from_a:i], b[from_b:j]
-                groups.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-                n_links += len(own_a) * len(own_b)
-                if len(own_a) == len(own_b) == 1:
-                    links[own_a[0] << SHIFT | own_b[0]] += 1
-                else:
-                    times_b = Counter(own_b).items()
-                    for x, m in Counter(own_a).items():
-                        for y, n in times_b:
-                            links[x << SHIFT | y] += m * n
-                from_a, from_b = i, j
-        return spelled, len(groups), n_links, ";".join(groups), tuple(links), tuple(links.values())
-
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes]]:
-        """The windows of a text, as packed ids of both sides."""
-        end_a, end_b = self.a_size[a].cumsum(), self.b_size[b].cumsum()
-        anchors_a, anchors_b = end_a[:-1][self.a_marked[a[1:]]], end_b[:-1][self.b_marked[b[1:]]]
-        if len(anchors_a):
-            at = np.minimum(np.searchsorted(anchors_a, anchors_b), len(anchors_a) - 1)
-            cuts = anchors_b[anchors_a[at] == anchors_b]
+            return False
+        text, n_links = f"{','.join(map(str, a))}|{','.join(map(str, b))}", len(a) * len(b)
+        if n_links < MANY_LINKS:
+            return spelled, 1, n_links, text, array("q", [x << SHIFT | y for x in a for y in b]).tobytes(), None
+        times_b = Counter(b).items()
+        counted = {x << SHIFT | y: m * n for x, m in Counter(a).items() for y, n in times_b}
+        return spelled, 1, n_links, text, array("q", counted).tobytes(), array("q", counted.values()).tobytes()
+
+    def parts(self, key: bytes, groups: list[bytes]) -> list[Window | bool]:
+        """A window that isn't known, as its groups; when it is seen again, it is put together and kept."""
+        known, parts = self.groups, list(map(self.groups.get, groups))
+        if None in parts:
+            if len(known) >= self.kept:
+                known.clear()
+            parts = [known.get(g) or known.setdefault(g, self.group(g)) for g in groups]
+        if key not in self.seen:
+            if len(self.seen) >= self.kept:
+                self.seen.clear()
+            self.seen.add(key)
         else:
-            cuts = anchors_a
-        size = a.itemsize
-        from_a, from_b = ([0, *((np.searchsorted(end, cuts) + 1) * size).tolist(), len(ids) * size] for end, ids in ((end_a, a), (end_b, b)))
-        packed_a, packed_b = a.tobytes(), b.tobytes()
-        return [(packed_a[i:j], packed_b[k:m]) for i, j, k, m in zip(from_a, from_a[1:], from_b, from_b[1:])]
-
-    def text(self, text: str | None, ids_a: list[int]) -> tuple[int, int, list[tuple[bytes, bytes]], list[Window]] | None:
-        """Numbers of tokens, windows and what they hold; None without tokens. ``ids_a``: those of a space and the text."""
+            if len(self.known) >= self.kept:
+                self.known.clear()
+            self.known[key] = self.window(parts)
+        return parts
+
+    def window(self, parts: list[Window | bool]) -> Window | bool:
+        """The alignment of a window from its groups; False where one of them has none."""
+        if len(parts) == 1:
+            return parts[0]
+        if False in parts:
+            return False
+        spelled, n, links, texts, codes, times = zip(*parts)
+        often = b"".join([t or ONCE * (len(c) // 8) for c, t in zip(codes, times)]) if any(times) else None
+        return b"".join(spelled), len(n), sum(links), ";".join(texts), b"".join(codes), often
+
+    def text(self, text: str | None, ids_a: list[int]) -> tuple[int, int, list[Window]] | None:
+        """Numbers of tokens of both sides, and the windows (or their groups); None without tokens. ``ids_a``: those of a space and the text."""
         if not text:
             return None
         raw = f" {text}".encode()
         a, b = np.array(ids_a, np.uint32), np.array(self.b.encode(text), np.uint32)
-        if self.a_size[a].sum() != len(raw) or self.b_size[b].sum() != len(raw):
+        end_a, end_b = self.a_size[a].cumsum(), self.b_size[b].cumsum()
+        if end_a[-1] != len(raw) or end_b[-1] != len(raw):
             return None
-        keys, known, found = self.windows(a, b), self.known, []
-        for key in keys:
-            w = known.get(key, 0)
-            if w == 0:
-                if len(known) >= self.kept:
-                    known.clear()
-                w = known[key] = self.window(np.frombuffer(key[0], np.uint32).tolist(), np.frombuffer(key[1], np.uint32).tolist())
-            if w is None:
-                return None
-            found.append(w)
-        return (len(a), len(b), keys, found) if b"".join([w[0] for w in found]) == raw else None
-
-    def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, list[tuple[bytes, bytes]], list[Window]] | None]:
-        for text, ids in zip(texts, self.a.encode([f" {t or ''}" for t in texts])):
-            yield self.text(text, ids)
+        # Where both sides end, the groups end; where the next tokens of both are marked as well, the windows do.
+        at = end_a.searchsorted(end_b)
+        shared = np.flatnonzero(end_a[at] == end_b)
+        stop_a, stop_b = at[shared] + 1, shared + 1
+        anchors = np.flatnonzero(self.a_marked[a[stop_a[:-1]]] & self.b_marked[b[stop_b[:-1]]])
+        # The ids group by group, those of A before those of B, so that a window or group is one stretch of bytes.
+        both, stops = np.empty(len(a) + len(b), np.uint32), stop_a + stop_b
+        both[np.arange(len(a)) + np.repeat(stop_b - np.diff(stop_b, prepend=0), np.diff(stop_a, prepend=0))] = a + OF_A
+        both[np.arange(len(b)) + np.repeat(stop_a, np.diff(stop_b, prepend=0))] = b
+        packed, ends = both.tobytes(), [0, *(stops * both.itemsize).tolist()]
+        first = [0, *(anchors + 1).tolist(), len(shared)]
+        bounds = [ends[i] for i in first]
+        keys = [packed[i:j] for i, j in zip(bounds, bounds[1:])]
+        found = list(map(self.known.get, keys))
+        if None in found:
+            every: list[Window | bool] = []
+            for key, w, i, j in zip(keys, found, first, first[1:]):
+                if w is None:
+                    every += self.parts(key, [packed[ends[k] : ends[k + 1]] for k in range(i, j)])
+                else:
+                    every.append(w)
+            found = every
+        if False in found:
+            return None
+        return (len(a), len(b), found) if b"".join([w[0] for w in found]) == raw else None
+
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, list[Window]] | None]:
+        for start in range(0, len(texts), TEXTS_AT_ONCE):
+            some = texts[start : start + TEXTS_AT_ONCE]
+            for text, ids in zip(some, self.a.encode([f" {t or ''}" for t in some])):
+                yield self.text(text, ids)
 
 
 _aligners: dict[tuple[bytes, bytes], Aligner] = {}
@@ -144,66 +169,58 @@ def aligned(docs: DataFrame, byte_model: bytes, piece_model: bytes, text: str =
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(*shared.value)
         for batch in rows:
-            made = [";".join([w[3] for w in t[3]]) if t else "" for t in own.texts(batch.column(batch.schema.get_field_index(text)).to_pylist())]
+            made = [";".join([w[3] for w in t[2]]) if t else "" for t in own.texts(batch.column(batch.schema.get_field_index(text)).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, groups])
 
     return docs.mapInArrow(batches, fields)
 
 
 class Block:
-    """The documents of a block: their windows by number, and the pairs of the windows by number."""
+    """The documents of a block, each with its distinct pairs and how often each is linked in it."""
 
     def __init__(self, number: int) -> None:
-        self.number, self.chars, self.docs = number, 0, []
-        self.numbers: dict[tuple[bytes, bytes], int] = {}
-        self.pairs: dict[int, int] = {}
-        self.of_window: list[tuple[int, ...]] = []
-        self.times_of_window: list[tuple[int, ...]] = []
-        self.holding: Counter = Counter()
-
-    def add(self, doc: object, text: str | None, found: tuple | None) -> None:
+        self.number, self.chars, self.docs, self.pairs, self.times = number, 0, [], [], []
+
+    def add(self, doc: object, text: str | None, found: tuple[int, int, list[Window]] | None) -> None:
         self.chars += len(text or "")
         if not found:
-            self.docs.append((doc, 0, 0, 0, 0, "", b"", b""))
+            self.docs.append((doc, 0, 0, 0, 0, ""))
+            self.pairs.append(np.zeros(0, np.int64))
+            self.times.append(np.zeros(0, np.uint32))
             return
-        n_a, n_b, keys, windows = found
-        numbers, pairs = self.numbers, self.pairs
-        own = []
-        for key, w in zip(keys, windows):
-            at = numbers.get(key)
-            if at is None:
-                at = numbers[key] = len(numbers)
-                self.of_window.append(tuple([pairs.setdefault(p, len(pairs)) for p in w[4]]))
-                self.times_of_window.append(w[5])
-            own.append(at)
-        distinct, times = np.unique(np.array(own, np.uint32), return_counts=True)
-        self.holding.update(set().union(*[self.of_window[i] for i in distinct.tolist()]))
-        groups = ";".join([w[3] for w in windows])
-        self.docs.append((doc, n_a, n_b, sum([w[1] for w in windows]), sum([w[2] for w in windows]), hashlib.sha256(groups.encode()).hexdigest(), planes(np.diff(distinct, prepend=np.uint32(0))), planes(times.astype(np.uint32))))
+        n_a, n_b, windows = found
+        codes = np.frombuffer(b"".join([w[4] for w in windows]), np.int64)
+        if any([w[5] for w in windows]):
+            often = np.frombuffer(b"".join([w[5] or ONCE * (len(w[4]) // 8) for w in windows]), np.int64)
+            distinct, place = np.unique(codes, return_inverse=True)
+            times = np.bincount(place, often).astype(np.uint32)
+        else:
+            distinct, times = np.unique(codes, return_counts=True)
+        digest = hashlib.sha256(";".join([w[3] for w in windows]).encode()).hexdigest()
+        self.docs.append((doc, n_a, n_b, sum([w[1] for w in windows]), sum([w[2] for w in windows]), digest))
+        self.pairs.append(distinct)
+        self.times.append(times.astype(np.uint32))
 
     def rows(self, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-        """A row for each document, then one with the windows of the block, then its pairs."""
-        columns = [*zip(*self.docs)] if self.docs else [()] * 8
+        """A row for each document, with the numbers that its pairs have in the block, then the pairs of the block."""
+        codes, place = np.unique(np.concatenate(self.pairs), return_inverse=True)
+        counts, place = np.bincount(place, minlength=len(codes)), place.astype(np.uint32)
+        ends = np.cumsum([len(x) for x in self.pairs])
+        packed = [(planes(np.diff(place[e - len(t) : e], prepend=np.uint32(0))), planes(t)) for e, t in zip(ends.tolist(), self.times)]
+        columns, n = [*zip(*[(*d, *x) for d, x in zip(self.docs, packed)])], len(self.docs)
         types = (kind, *[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary())
-        n = len(self.docs)
-        yield self._batch(n, [pa.array(c, t) for c, t in zip(columns, types)], [None] * n, [None] * n, [None] * n, kind)
-        if not self.pairs:
-            return
-        sizes = np.array([len(x) for x in self.of_window], np.uint32)
-        flat = [np.fromiter((x for some in table for x in some), np.uint32, int(sizes.sum())) for table in (self.of_window, self.times_of_window)]
-        yield self._batch(1, None, [b"".join([np.array([len(sizes), len(flat[0])], np.uint32).tobytes(), sizes.tobytes(), flat[0].tobytes(), flat[1].tobytes()])], [None], [None], kind)
-        codes, counts = np.fromiter(self.pairs, np.int64, len(self.pairs)), np.array([self.holding[i] for i in range(len(self.pairs))], np.int64)
+        yield self._batch(n, [pa.array(c, t) for c, t in zip(columns, types)], [None] * n, [None] * n, kind)
         for start in range(0, len(codes), PAIRS_A_ROW):
             stop = start + PAIRS_A_ROW
-            yield self._batch(1, None, [None], [start], [[{"code": c, "n": k} for c, k in zip(codes[start:stop].tolist(), counts[start:stop].tolist())]], kind)
+            yield self._batch(1, None, [start], [[{"code": c, "n": k} for c, k in zip(codes[start:stop].tolist(), counts[start:stop].tolist())]], kind)
 
-    def _batch(self, n: int, own: list | None, table: list, first: list, pairs: list, kind: pa.DataType) -> pa.RecordBatch:
+    def _batch(self, n: int, own: list | None, first: list, pairs: list, kind: pa.DataType) -> pa.RecordBatch:
         own = own or [pa.nulls(n, t) for t in (kind, *[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary())]
         pair = pa.list_(pa.struct([("code", pa.int64()), ("n", pa.int64())]))
-        return pa.RecordBatch.from_arrays([pa.array([self.number] * n, pa.int64()), *own, pa.array(table, pa.binary()), pa.array(first, pa.int32()), pa.array(pairs, pair)], names=NAMES)
+        return pa.RecordBatch.from_arrays([pa.array([self.number] * n, pa.int64()), *own, pa.array(first, pa.int32()), pa.array(pairs, pair)], names=NAMES)
 
 
-NAMES = ["block", "doc", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "windows", "times", "table", "first", "pairs"]
+NAMES = ["block", "doc", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "numbers", "times", "first", "pairs"]
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -233,7 +250,7 @@ def blocks(docs: DataFrame, byte_model: bytes, piece_model: bytes, block_chars:
         if block.docs:
             yield from block.rows(kind_of_doc)
 
-    return docs.select("doc", "text").mapInArrow(batches, f"block long, doc {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, windows binary, times binary, table binary, first int, pairs array<struct<code:long,n:long>>")
+    return docs.select("doc", "text").mapInArrow(batches, f"block long, doc {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, numbers binary, times binary, first int, pairs array<struct<code:long,n:long>>")
 
 
 def counted(docs: DataFrame, byte_model: bytes, piece_model: bytes, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, kept: int = KEPT_WINDOWS) -> DataFrame:
@@ -253,21 +270,13 @@ def counted(docs: DataFrame, byte_model: bytes, piece_model: bytes, key: str = "
         totals, best = np.zeros(counts.num_rows, np.int64), np.zeros(counts.num_rows, np.int64)
         at = counts.column("at").to_numpy()
         totals[at], best[at] = counts.column("total").to_numpy(), counts.column("best").to_numpy()
-        table = next((x for x in own.column("table").to_pylist() if x is not None), None)
-        rows = own.filter(pa.compute.is_null(own.column("table")))
-        results = [np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows, np.int64)]
-        if table is not None:
-            n, m = np.frombuffer(table, np.uint32, 2).tolist()
-            sizes, which, times = (np.frombuffer(table, np.uint32, k, 4 * o).astype(np.int64) for k, o in ((n, 2), (m, 2 + n), (m, 2 + n + m)))
-            starts = np.cumsum(sizes) - sizes
-            per_window = [np.add.reduceat(times * x[which], starts) for x in (best, totals)]
-            for i, (w, t) in enumerate(zip(rows.column("windows").to_pylist(), rows.column("times").to_pylist())):
-                if w:
-                    ids, often = np.cumsum(numbers_of(w).astype(np.int64)), numbers_of(t)
-                    for out, x in zip(results, per_window):
-                        out[i] = int(x[ids] @ often)
-        return pa.table([rows.column(c) for c in NAMES[1:6]] + [pa.array(x) for x in results] + [rows.column("groups_sha256")], names=[*NAMES[1:6], "n_best", "count_sum", "groups_sha256"])
-
-    rows = made.filter("pairs is null").select(F.col("block").alias("own_block"), *NAMES[1:10])
+        made = []
+        for numbers, times in zip(own.column("numbers").to_pylist(), own.column("times").to_pylist()):
+            ids, often = np.cumsum(numbers_of(numbers).astype(np.int64)), numbers_of(times).astype(np.int64)
+            made.append((int(best[ids] @ often), int(totals[ids] @ often)))
+        sums = [pa.array([m[i] for m in made], pa.int64()) for i in (0, 1)]
+        return pa.table([own.column(c) for c in NAMES[1:6]] + sums + [own.column("groups_sha256")], names=[*NAMES[1:6], "n_best", "count_sum", "groups_sha256"])
+
+    rows = made.filter("pairs is null").select(F.col("block").alias("own_block"), *NAMES[1:9])
     out = back.groupBy("block").cogroup(rows.groupBy("own_block")).applyInArrow(summed, f"doc {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
     return out.withColumnRenamed("doc", key)
