@@ -18,6 +18,7 @@ empty table gives no rows; columns beside key and text are not read by ``counted
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from array import array
 from collections import Counter
@@ -35,7 +36,7 @@ from tidewire.llm.sentencepiece_agenda import MARK
 from tidewire.llm.shared import free_name, saved
 
 #: Characters of text after which a block ends; windows that a worker keeps at most (it bounds memory, and changes no result).
-BLOCK_CHARS, KEPT_WINDOWS = 8_000_000, 30_000
+BLOCK_CHARS, KEPT_WINDOWS = 8_000_000, 50_000
 #: Pairs in a row of a block; texts that are encoded at a time; links of a window from which equal ones are counted, not listed.
 PAIRS_A_ROW, TEXTS_AT_ONCE, MANY_LINKS = 16_384, 256, 4_096
 #: A pair of ids is one number: the A id, and the B id in the lower bits.
@@ -61,7 +62,7 @@ class Aligner:
         self.a_bytes = [self.a.bytes.get(i, b"") for i in range(max(self.a.bytes) + 1)]
         self.a_size, self.b_size = (np.array([len(x) for x in some], np.int64) for some in (self.a_bytes, self.b_bytes))
         self.a_marked, self.b_marked = np.array([x.startswith(b" ") for x in self.a_bytes]), np.array([p.startswith(MARK) for p in pieces])
-        # By packed ids (those of A are flagged): windows seen twice, windows seen once, groups; each starts afresh when it is full.
+        # By packed ids (those of A are flagged): windows seen twice, windows seen once, groups.
         self.known: dict[bytes, Window | bool] = {}
         self.seen: set[bytes] = set()
         self.groups: dict[bytes, Window | bool] = {}
@@ -81,22 +82,20 @@ class Aligner:
         counted = {x << SHIFT | y: m * n for x, m in Counter(a).items() for y, n in times_b}
         return spelled, 1, n_links, text, array("q", counted).tobytes(), array("q", counted.values()).tobytes()
 
-    def parts(self, key: bytes, groups: list[bytes]) -> list[Window | bool]:
-        """A window that isn't known, as its groups; when it is seen again, it is put together and kept."""
-        known, parts = self.groups, list(map(self.groups.get, groups))
-        if None in parts:
-            if len(known) >= self.kept:
-                known.clear()
-            parts = [known.get(g) or known.setdefault(g, self.group(g)) for g in groups]
-        if key not in self.seen:
-            if len(self.seen) >= self.kept:
+    def new_group(self, key: bytes) -> Window | bool:
+        if len(self.groups) >= self.kept:
+            self.groups.clear()
+        g = self.groups[key] = self.group(key)
+        return g
+
+    def look(self, key: bytes, parts: list[Window | bool]) -> None:
+        """A window that isn't known is kept when it is seen again, while a task has room: frequent windows come early."""
+        if key in self.seen:
+            self.known[key] = self.window(parts)
+        else:
+            if len(self.seen) >= 8 * self.kept:
                 self.seen.clear()
             self.seen.add(key)
-        else:
-            if len(self.known) >= self.kept:
-                self.known.clear()
-            self.known[key] = self.window(parts)
-        return parts
 
     def window(self, parts: list[Window | bool]) -> Window | bool:
         """The alignment of a window from its groups; False where one of them has none."""
@@ -113,7 +112,7 @@ class Aligner:
         if not text:
             return None
         raw = f" {text}".encode()
-        a, b = np.array(ids_a, np.uint32), np.array(self.b.encode(text), np.uint32)
+        a, b = (np.frombuffer(array("I", ids), np.uint32) for ids in (ids_a, self.b.encode(text)))
         end_a, end_b = self.a_size[a].cumsum(), self.b_size[b].cumsum()
         if end_a[-1] != len(raw) or end_b[-1] != len(raw):
             return None
@@ -123,9 +122,14 @@ class Aligner:
         stop_a, stop_b = at[shared] + 1, shared + 1
         anchors = np.flatnonzero(self.a_marked[a[stop_a[:-1]]] & self.b_marked[b[stop_b[:-1]]])
         # The ids group by group, those of A before those of B, so that a window or group is one stretch of bytes.
-        both, stops = np.empty(len(a) + len(b), np.uint32), stop_a + stop_b
-        both[np.arange(len(a)) + np.repeat(stop_b - np.diff(stop_b, prepend=0), np.diff(stop_a, prepend=0))] = a + OF_A
-        both[np.arange(len(b)) + np.repeat(stop_a, np.diff(stop_b, prepend=0))] = b
+        stops = stop_a + stop_b
+        of_a = np.zeros(len(a) + len(b), np.int8)  # 1 where a token of A stands: from the end of a group on, until its tokens of A end
+        of_a[stops[:-1]] = 1
+        of_a[0] = 1
+        of_a[stops - np.diff(stop_b, prepend=0)] -= 1
+        of_a = of_a.cumsum(dtype=np.int8).view(bool)
+        both = np.empty(len(of_a), np.uint32)
+        both[of_a], both[~of_a] = a + OF_A, b
         packed, ends = both.tobytes(), [0, *(stops * both.itemsize).tolist()]
         first = [0, *(anchors + 1).tolist(), len(shared)]
         bounds = [ends[i] for i in first]
@@ -133,11 +137,18 @@ class Aligner:
         found = list(map(self.known.get, keys))
         if None in found:
             every: list[Window | bool] = []
+            get, room = self.groups.get, len(self.known) < self.kept
             for key, w, i, j in zip(keys, found, first, first[1:]):
-                if w is None:
-                    every += self.parts(key, [packed[ends[k] : ends[k + 1]] for k in range(i, j)])
-                else:
+                if w is not None:
                     every.append(w)
+                    continue
+                own = [packed[x:y] for x, y in zip(ends[i:j], ends[i + 1 : j + 1])]
+                parts = list(map(get, own))
+                if None in parts:
+                    parts = [g or self.new_group(k) for g, k in zip(parts, own)]
+                every += parts
+                if room:
+                    self.look(key, parts)
             found = every
         if False in found:
             return None
@@ -189,15 +200,16 @@ class Block:
             self.times.append(np.zeros(0, np.uint32))
             return
         n_a, n_b, windows = found
-        codes = np.frombuffer(b"".join([w[4] for w in windows]), np.int64)
-        if any([w[5] for w in windows]):
-            often = np.frombuffer(b"".join([w[5] or ONCE * (len(w[4]) // 8) for w in windows]), np.int64)
+        _, groups, links, texts, packed, counted = zip(*windows)
+        codes = np.frombuffer(b"".join(packed), np.int64)
+        if any(counted):
+            often = np.frombuffer(b"".join([t or ONCE * (len(c) // 8) for c, t in zip(packed, counted)]), np.int64)
             distinct, place = np.unique(codes, return_inverse=True)
             times = np.bincount(place, often).astype(np.uint32)
         else:
             distinct, times = np.unique(codes, return_counts=True)
-        digest = hashlib.sha256(";".join([w[3] for w in windows]).encode()).hexdigest()
-        self.docs.append((doc, n_a, n_b, sum([w[1] for w in windows]), sum([w[2] for w in windows]), digest))
+        digest = hashlib.sha256(";".join(texts).encode()).hexdigest()
+        self.docs.append((doc, n_a, n_b, sum(groups), sum(links), digest))
         self.pairs.append(distinct)
         self.times.append(times.astype(np.uint32))
 
@@ -240,15 +252,20 @@ def blocks(docs: DataFrame, byte_model: bytes, piece_model: bytes, block_chars:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task = aligner(*shared.value), TaskContext.get().partitionId() << 24
         own.kept, block = kept, Block(task)
-        for batch in rows:
-            kind_of_doc, texts = batch.schema.field(0).type, batch.column(1).to_pylist()
-            for doc, text, found in zip(batch.column(0).to_pylist(), texts, own.texts(texts)):
-                block.add(doc, text, found)
-                if block.chars >= block_chars:
-                    yield from block.rows(kind_of_doc)
-                    block = Block(block.number + 1)
-        if block.docs:
-            yield from block.rows(kind_of_doc)
+        own.known.clear()
+        gc.disable()  # what is made here has no cycles, and what is kept would be gone through again and again
+        try:
+            for batch in rows:
+                kind_of_doc, texts = batch.schema.field(0).type, batch.column(1).to_pylist()
+                for doc, text, found in zip(batch.column(0).to_pylist(), texts, own.texts(texts)):
+                    block.add(doc, text, found)
+                    if block.chars >= block_chars:
+                        yield from block.rows(kind_of_doc)
+                        block = Block(block.number + 1)
+            if block.docs:
+                yield from block.rows(kind_of_doc)
+        finally:
+            gc.enable()
 
     return docs.select("doc", "text").mapInArrow(batches, f"block long, doc {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, numbers binary, times binary, first int, pairs array<struct<code:long,n:long>>")
 
