@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.shared import forget, free_name, saved, words
+from tidewire.llm.shared import free_name, saved, words
 
 #: Words of a window in which repetition counts.
 WINDOW = 8
@@ -172,10 +172,10 @@ def base_failed(names: dict[str, str]) -> Column:
 
 def judged(featured: DataFrame, names: dict[str, str]) -> DataFrame:
     """Rows with features, plus p_good, base_failed and kept. The vote patterns are counted over all rows first."""
-    pattern = votes(featured, names)
-    counts = saved(featured.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n")), "vote-patterns")
-    model = fit(counts)
-    forget(counts)
-    p, failed, kept = (free_name(featured, c) for c in ("p_good", "base_failed", "kept"))
-    out = featured.withColumn(p, posterior(pattern, model)).withColumn(failed, base_failed(names))
+    p, failed, kept, pattern = (free_name(featured, c) for c in ("p_good", "base_failed", "kept", "pattern"))
+    voted = featured.withColumn(pattern, votes(featured, names))
+    counts = saved(voted.groupBy(F.col(pattern).alias("pattern")).agg(F.count(F.lit(1)).alias("n")), "vote-patterns")
+    # A pattern's posterior is worked out once, and found by the pattern: the table has 3 ** len(RULES) rows at most.
+    graded = counts.select(F.col("pattern").alias(pattern), posterior(F.col("pattern"), fit(counts)).alias(p))
+    out = voted.join(F.broadcast(graded), pattern).drop(pattern).withColumn(failed, base_failed(names))
     return out.withColumn(kept, ~F.col(failed) & (F.col(p) >= 0.5))
