@@ -36,3 +36,18 @@ def test_recall_beyond_the_reranked_share(spark):
     assert len(want & set(zip(found["query_id"].tolist(), found["id"].tolist()))) >= 0.9 * len(want)
     ordered = found.sort_values(["query_id", "rank"])
     assert (ordered.groupby("query_id")["score"].diff().dropna() <= 0).all()
+
+
+def test_ids_that_stand_with_many_vectors(spark):
+    """An id with more near vectors than a result has places still gets all its neighbours, and never itself."""
+    draw = np.random.default_rng(3)
+    near = draw.normal(size=8)
+    rows = [(0, (near + draw.normal(size=8) * 0.01).tolist()) for _ in range(30)] + [(i, draw.normal(size=8).tolist()) for i in range(1, 60)] + [(i, (near * 2).tolist()) for i in (0, 61, 62)]
+    found = index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+    assert {r["query_id"] for r in found} == {0, 20, 40} and all(r["query_id"] != r["id"] for r in found)
+    assert len([r for r in found if r["query_id"] == 0]) == 31 * 20  # for each of its vectors
+    for own in (20, 40):
+        mine = next(v for i, v in rows if i == own)
+        wanted = sorted((-float(np.dot(mine, v)), i) for i, v in rows if i != own)[:20]
+        got = sorted((r["rank"], r["id"], r["score"]) for r in found if r["query_id"] == own)
+        assert [i for _, i, _ in got] == [i for _, i in wanted] and np.allclose([s for *_, s in got], [-s for s, _ in wanted])

@@ -109,6 +109,7 @@ class Asked:
         self.h, self.g = queries["h"].to_numpy(), queries["g"].to_numpy()
         self.x = np.frombuffer(b"".join(queries["x"]), dtype="<f8").reshape(len(queries), -1)
         self.near = np.frombuffer(b"".join(queries["near"]), dtype="<u2").reshape(len(queries), -1)
+        self.own, self.alone = queries["own"].to_numpy(), queries["alone"].to_numpy()
         self.k, shape = k + 1, (len(queries), k + 1)
         self.scores, self.first, self.ids = np.full(shape, -np.inf), np.zeros(shape, dtype=np.int64), np.full(shape, None, dtype=object)
 
@@ -118,13 +119,19 @@ class Asked:
         x = np.frombuffer(b"".join(entries["x"]), dtype="<f8").reshape(n, -1)
         files = InvertedFiles(np.frombuffer(b"".join(entries["near"]), dtype="<u2").reshape(n, -1), pivots)
         ids, lengths = entries["ids"].to_numpy(), np.linalg.norm(x, axis=1)
+        single = np.array([len(i) == 1 for i in ids])
         first, most = np.array([i[0] for i in ids]), min(n, max(LEAST, self.k, int(np.ceil(SHARE * n))))
         width = min(self.k, most)
         scores, places = np.empty((len(self.x), width)), np.empty((len(self.x), width), dtype=np.int64)
         for q, (asked, mine) in enumerate(zip(self.x, self.near)):
             worth = files.credits(mine) * lengths
+            only_own = single & (first == self.own[q]) if self.alone[q] else None  # entries that only the query's own id has
+            if only_own is not None:
+                worth[only_own] = -np.inf
             chosen = np.argpartition(-worth, most - 1)[:most] if most < n else np.arange(n)
             exact = (x[chosen] * asked).sum(axis=1)
+            if only_own is not None:
+                exact[only_own[chosen]] = -np.inf
             best = np.lexsort((first[chosen], -exact))[:width]
             scores[q], places[q] = exact[best], chosen[best]
         every = [np.concatenate(pair, axis=1) for pair in ((self.scores, scores), (self.first, first[places]), (self.ids, ids[places]))]
@@ -134,7 +141,7 @@ class Asked:
     def found(self) -> pd.DataFrame:
         met = np.isfinite(self.scores)
         q, _ = np.nonzero(met)
-        return pd.DataFrame({"h": self.h[q], "g": self.g[q], "score": self.scores[met], "ids": self.ids[met]})
+        return pd.DataFrame({"h": self.h[q], "g": self.g[q], "own": self.own[q], "alone": self.alone[q], "score": self.scores[met], "ids": self.ids[met]})
 
 
 def _searched(pivots: dict[int, int], k: int):
@@ -184,17 +191,20 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     pivots = {d: np.array([r["v"] for r in distinct.filter(F.col("dim") == d).orderBy("h", "g").limit(PIVOTS).select("v").collect()], dtype=np.float64) for d in dims}
     pivots = {d: p / np.linalg.norm(p, axis=1, keepdims=True) for d, p in pivots.items()}  # directions: long pivots aren't near everything
     asked = rows.filter(is_query).select("id", "h", "g")
+    # An id that stands with several vectors asks by itself with each, and meets none of its own; other ids of a vector ask together.
+    several = asked.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit(True).alias("alone"))
+    asked = asked.join(several, "id", "left").withColumn("alone", F.coalesce("alone", F.lit(False))).withColumn("own", F.when(F.col("alone"), F.col("id")).otherwise(0))
     index = saved(distinct.mapInPandas(_indexed(pivots), "h long, g long, ids array<long>, dim int, x binary, near binary"), "permutations")
-    queries = saved(index.join(asked.select("h", "g").distinct(), ["h", "g"], "left_semi").drop("ids"), "queries")
+    queries = saved(index.join(asked.select("h", "g", "own", "alone").distinct(), ["h", "g"]).drop("ids"), "queries")
     blocks = max(1, -(-queries.count() // QUERIES))
     lane, none = F.pmod("g", F.lit(LANES)).cast("int"), F.lit(None).cast("array<long>")
-    stored = index.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("asked"), lane.alias("lane"), F.lit(False).alias("is_query"), "h", "g", "ids", "x", "near")
-    sent = queries.select("dim", F.pmod("g", F.lit(blocks)).cast("int").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"), F.lit(True).alias("is_query"), "h", "g", none.alias("ids"), "x", "near")
+    stored = index.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("asked"), lane.alias("lane"), F.lit(False).alias("is_query"), "h", "g", "ids", "x", "near", F.lit(0).cast("long").alias("own"), F.lit(False).alias("alone"))
+    sent = queries.select("dim", F.pmod("g", F.lit(blocks)).cast("int").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"), F.lit(True).alias("is_query"), "h", "g", none.alias("ids"), "x", "near", "own", "alone")
     cells = stored.union(sent).repartition(blocks * LANES, "dim", "asked", "lane").sortWithinPartitions("dim", "asked", "lane", F.desc("is_query"), "h", "g")
-    found = cells.mapInPandas(_searched({d: len(p) for d, p in pivots.items()}, k), "h long, g long, score double, ids array<long>")
-    each = found.select("h", "g", "score", F.explode("ids").alias("id"))
-    best = each.withColumn("n", F.row_number().over(W.partitionBy("h", "g").orderBy(F.desc("score"), "id"))).filter(F.col("n") <= k + 1)
-    lists = saved(best.groupBy("h", "g").agg(F.array_sort(F.collect_list(F.struct("n", "id", "score"))).alias("near")), "nearest")
-    own = asked.join(lists, ["h", "g"])
+    found = cells.mapInPandas(_searched({d: len(p) for d, p in pivots.items()}, k), "h long, g long, own long, alone boolean, score double, ids array<long>")
+    each = found.select("h", "g", "own", "alone", "score", F.explode("ids").alias("id")).filter(~F.col("alone") | (F.col("id") != F.col("own")))
+    best = each.withColumn("n", F.row_number().over(W.partitionBy("h", "g", "own", "alone").orderBy(F.desc("score"), "id"))).filter(F.col("n") <= k + 1)
+    lists = saved(best.groupBy("h", "g", "own", "alone").agg(F.array_sort(F.collect_list(F.struct("n", "id", "score"))).alias("near")), "nearest")
+    own = asked.join(lists, ["h", "g", "own", "alone"])
     kept = F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)
     return own.select(F.col("id").alias("query_id"), F.posexplode(kept).alias("place", "x")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.id").alias("id"), F.col("x.score").alias("score"))
