@@ -161,10 +161,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str
 
     h = F.xxhash64(F.col(key), F.col(text))
     known = docs.filter(F.col(language).isNotNull() & F.col(text).isNotNull())
-    hashed = known.select(F.col(language).alias("language"), h.alias("h"), F.pmod(h, F.lit(SALTS)).alias("salt"))
+    hashed = known.select(F.col(language).alias("language"), h.alias("h"), F.pmod(h, F.lit(SALTS)).alias("salt")).dropDuplicates(["language", "h"])
     rank = F.row_number().over(W.partitionBy("language", "salt").orderBy("h"))
     chosen = hashed.withColumn("rank", rank).filter(F.col("rank") <= PER_SALT).select("h").distinct()
     texts = known.select(F.col(language).alias("language"), h.alias("h"), F.col(text).alias("text")).join(F.broadcast(chosen), "h")
+    texts = texts.groupBy("h").agg(F.min("language").alias("language"), F.min("text").alias("text"))  # a repeated row teaches once
     found = texts.select("language", "h", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / RUN)), lambda i: F.slice(F.col("w"), (i * RUN + 1).cast("int"), RUN))
     runs = found.select("language", "h", F.posexplode(cut).alias("i", "run")).withColumn("order", F.xxhash64("h", "i"))
