@@ -124,7 +124,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", order: st
         return dull
     cut = F.expr(f"transform(sequence(0, greatest(0, (octet_length(text) - 1) div {BLOCK})), i -> substring(cast(text as binary), i * {BLOCK} + 1, {BLOCK}))")
     half = F.pmod(F.col("h"), F.lit(2))
-    pieces = saved(rows.filter((half == 0) & (F.length("text") > 0)).select("label", F.posexplode(cut).alias("i", "block"), "h").withColumn("order", F.xxhash64("h", "i")), "blocks")
+    once = rows.dropDuplicates(["h", "label"])  # a repeated row gives its blocks once
+    pieces = saved(once.filter((half == 0) & (F.length("text") > 0)).select("label", F.posexplode(cut).alias("i", "block"), "h").withColumn("order", F.xxhash64("h", "i")), "blocks")
     found = {r["label"]: r["n"] for r in pieces.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(found) < 2:
         return dull
@@ -147,8 +148,11 @@ def _first(rows: DataFrame, n: int, most: int, order: list[str]) -> DataFrame:
     Rows far beyond what the first ones can reach in the hash are left out before, so that each task hands over its share only.
     """
     share = min(1.0, 2.0 * most / n + 64.0 / n)
-    near = rows.filter(F.col(order[0]) <= int(share * (1 << 64)) - (1 << 63) - 1) if share < 1 else rows
-    return near.orderBy(*order).limit(most)
+    if share < 1:
+        near = rows.filter(F.col(order[0]) <= int(share * (1 << 64)) - (1 << 63) - 1)
+        if near.limit(most).count() == most:
+            return near.orderBy(*order).limit(most)
+    return rows.orderBy(*order).limit(most)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
