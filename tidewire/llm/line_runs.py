@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.shared import WHITE, forget, free_name, n_words, saved
+from tidewire.llm.shared import WHITE, forget, free_name, n_words, saved, settled
 
 #: Lines of a run from which a later copy is deleted; words of a single line, or how often it occurs, from which it is.
 MIN_LINES, MIN_WORDS, FREQUENT = 2, 50, 10
@@ -141,7 +141,8 @@ def without_later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text
     """``docs`` with a struct of kept (the text without later copies of runs), n_lines, n_removed and n_runs."""
     k1, k2 = keys(key, text)
     a, b, found, name = (free_name(docs, c) for c in ("k1", "k2", "windows", name))
-    gone = later_runs(docs, key, text).groupBy(F.col("place.k1").alias(a), F.col("place.k2").alias(b)).agg(F.collect_set(F.struct("place.pos", "lines")).alias(found))
+    runs = lambda: later_runs(docs, key, text).groupBy(F.col("place.k1").alias(a), F.col("place.k2").alias(b)).agg(F.collect_set(F.struct("place.pos", "lines")).alias(found))
+    gone = settled(runs, "line-windows")
     joined = docs.withColumn(a, k1).withColumn(b, k2).join(gone, [a, b], "left")
     without = F.pandas_udf(_without, "struct<kept: string, n_lines: long, n_removed: long, n_runs: long>")
     return joined.withColumn(name, without(F.col(text), F.col(found))).drop(a, b, found)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +51,16 @@ def recorded(tables: list[DataFrame]) -> Iterator[None]:
         _recorders.remove(tables)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written; the tables that it has written on the way are deleted."""
+    with recorded(tables := []):
+        made = make()
+    out = saved(made, name)
+    for table in tables:
+        forget(table)
+    return out
+
+
 def forget(df: DataFrame | None) -> None:
     """Delete what ``saved`` wrote for ``df``; nothing may read it afterwards."""
     path = getattr(df, "_tidewire_path", None)

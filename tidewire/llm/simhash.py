@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.components import components
-from tidewire.llm.shared import free_name, saved
+from tidewire.llm.shared import free_name, saved, settled
 
 #: Words of a shingle, and bits in which linked fingerprints differ at most.
 WORDS, TAU = 3, 2
@@ -144,7 +144,7 @@ def _met(crowd: DataFrame, tau: int) -> DataFrame:
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, tau: int = TAU) -> DataFrame:
     """(key, fp, component_id) a row: the fingerprint, and the least key among all that are reachable over links."""
     base = saved(docs.select(F.col(key).alias("key"), fingerprints(F.col(text), n).alias("fp")), "fingerprints")
-    return base.join(classes(base, tau), "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return base.join(settled(lambda: classes(base, tau), "classes"), "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def classes(base: DataFrame, tau: int = TAU) -> DataFrame:
@@ -153,7 +153,7 @@ def classes(base: DataFrame, tau: int = TAU) -> DataFrame:
     roots = components(links(nodes.select(F.lit(0).alias("f"), "fp"), tau).select("u", "v"))
     rooted = nodes.join(roots, nodes["fp"] == roots["u"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return saved(rooted.join(names, "root").select("fp", "component_id"), "classes")
+    return rooted.join(names, "root").select("fp", "component_id")
 
 
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
@@ -292,14 +292,19 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             yield pd.DataFrame({"node": np.array([m[0] for m in made], dtype="<u8").view("<i8"), "n": [m[1] for m in made], "bands": [m[2] for m in made], "low": [m[3] for m in made]})
 
     k1, k2 = _row_keys(key, text)
-    base = docs.select(F.struct(F.col(key).alias("key"), k1.alias("k1"), k2.alias("k2")).alias("row"), of(F.col(text)).alias("p"))
-    base = saved(base.select("row", "p.*"), "fingerprints")
-    nodes = saved(base.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.min("row").alias("row")), "nodes")
-    roots = components(similar_links(docs, nodes, key, text))
-    grouped_rows = nodes.join(roots, nodes["node"] == roots["u"], "left").select("row", F.coalesce("root", "node").alias("root"))
-    kept = grouped_rows.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2"))
     a, b = free_name(docs, "k1"), free_name(docs, "k2")
-    kept = saved(kept.select(F.col("k1").alias(a), F.col("k2").alias(b)), "kept")
+
+    def chosen() -> DataFrame:
+        """(k1, k2) of the row with the least id of each group."""
+        base = docs.select(F.struct(F.col(key).alias("key"), k1.alias("k1"), k2.alias("k2")).alias("row"), of(F.col(text)).alias("p"))
+        base = saved(base.select("row", "p.*"), "fingerprints")
+        nodes = saved(base.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.min("row").alias("row")), "nodes")
+        roots = components(similar_links(docs, nodes, key, text))
+        grouped_rows = nodes.join(roots, nodes["node"] == roots["u"], "left").select("row", F.coalesce("root", "node").alias("root"))
+        kept = grouped_rows.groupBy("root").agg(F.min("row").alias("row"))
+        return kept.select(F.col("row.k1").alias(a), F.col("row.k2").alias(b))
+
+    kept = settled(chosen, "kept")
     return docs.withColumn(a, k1).withColumn(b, k2).join(kept, [a, b]).dropDuplicates([a, b]).drop(a, b)
 
 
