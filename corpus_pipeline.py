@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line deduplication, near-duplicates, mixing, tokens.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next stage's docs. So when
-a stage begins, nothing reads any more what the stage before it had written for itself, and these tables are deleted.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next stage's docs. Operators
+delete what they write on the way once its result stands; what a stage's own result still reads is deleted by ``run`` when that
+result is written, and by nobody else, so stages may also follow each other without a write between them.
 
 In every stage null and empty texts, repeated rows, ties and empty tables have the results that the stage's operator states: a
 null or empty text fails the quality rules; texts that are equal, rows that are equal among them, are one group of near copies,
@@ -11,7 +12,6 @@ of which one row stays; what the mix takes of a text is never empty. Columns bes
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,20 +21,6 @@ from tidewire.llm.queries import piece_model_bytes
 from tidewire.llm.shared import forget, free_name, recorded, saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_earlier: list[DataFrame] = []
-
-
-def stage(f: Stage) -> Stage:
-    """A stage that first deletes the tables of the one before, and leaves its own for the next to delete."""
-
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _earlier:
-            forget(_earlier.pop())
-        with recorded(_earlier):
-            return f(spark, docs, sf_dir)
-
-    return run_stage
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -42,7 +28,6 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
-@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose posterior quality is below one half, go."""
     featured, names = weak_supervision.features(docs)
@@ -51,7 +36,6 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.filter(F.col(free_name(featured, "kept"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs are cut from the texts; every document stays."""
     name = free_name(docs, "lines")
@@ -59,19 +43,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _measured(rows.select(*[(F.col(name)["kept"].alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns]))
 
 
-@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
     return simhash.one_of_each(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes, in the order of training positions."""
     return _measured(curriculum.mixed(docs).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
-@stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each text, with begin and end ids, in the order of the mix."""
     kept = docs.select(*[c for c in ("doc_id", "source", "text") if c in docs.columns])
@@ -89,5 +70,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over all documents, each written to the shared folder before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = saved(step(spark, docs, sf_dir), name)
+        with recorded(own := []):
+            made = step(spark, docs, sf_dir)
+        following = saved(made, name)
+        for table in [*own, docs]:  # of docs, only what a stage before has written
+            forget(table)
+        docs = following
     return STAGES[-1][1](spark, docs, sf_dir)
