@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many rules are tested in one expression; longer lists go through a function (phrases) or a join (types).
-INLINE_RULES = 500
+from tidewire.operators.rows import free_name
+
+#: Up to so many phrases are tested in one expression; longer lists go through an automaton, of so many phrases at most.
+INLINE_RULES, AUTOMATON_RULES = 64, 100_000
 
 # Category, priority, term, department; and what an unknown category gets.
 CATEGORY_RULES = (
@@ -25,44 +29,84 @@ PRIORITY_LABELS = {"p1": "П1", "p2": "П2", "p3": "П3", "p4": "П4"}
 TONALITY_LABELS = {"positive": "позитивная", "neutral": "нейтральная", "negative": "негативная", "alarming": "тревожная", "irrelevant": "нерелевантная"}
 
 
+def _least(text: Column, rules: list[tuple[str, int]], labels: list[str] | None = None) -> Column:
+    """The least rank of the (phrase, rank) whose phrase stands in ``text``, or the label of that rank; null for none.
+
+    A short list is one flat CASE, whose branches are tried by rank. A longer one is an Aho-Corasick automaton, which reads a text once
+    however many phrases there are; its phrases are broadcast with the function, and callers bound their number.
+    """
+    kind = "long" if labels is None else "string"
+    if not rules:
+        return F.lit(None).cast(kind)
+    if len(rules) <= INLINE_RULES:
+        (phrase, rank), *rest = sorted(rules, key=lambda r: r[1])
+        value = lambda rank: F.lit(rank if labels is None else labels[rank])
+        found = F.when(F.contains(text, F.lit(phrase)), value(rank))
+        for phrase, rank in rest:
+            found = found.when(F.contains(text, F.lit(phrase)), value(rank))
+        return found.cast(kind)
+    ranks: dict[str, int] = {}
+    for phrase, rank in rules:
+        ranks[phrase] = min(rank, ranks.get(phrase, rank))
+    everywhere = ranks.pop("", None)  # the empty phrase stands in every text
+
+    @F.pandas_udf(kind)
+    def least(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for phrase, rank in ranks.items():
+            automaton.add_word(phrase, rank)
+        automaton.make_automaton()
+        for texts in batches:
+            hits = [min((rank for _, rank in automaton.iter(t)), default=None) if t else None for t in texts]
+            hits = [everywhere if h is None or everywhere is not None and everywhere < h else h for h in hits]
+            yield pd.Series(hits, dtype="Int64") if labels is None else pd.Series([None if h is None else labels[h] for h in hits], dtype="object")
+
+    return least(text)
+
+
+def _lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
 def first_phrase(text: Column, phrases: list[tuple[str, str]]) -> Column:
-    """The result of the first (phrase, result) whose phrase stands in the lower-cased text; null for none."""
-    lowered, found = F.lower(F.coalesce(text, F.lit(""))), F.lit(None).cast("string")
-    if len(phrases) > INLINE_RULES:
-        rules = [(phrase.lower(), result) for phrase, result in phrases]
+    """The result of the first (phrase, result) whose phrase stands in the lower-cased text; null for none.
+
+    For a list in a program; ``first_phrases`` takes a table of rules of any size.
+    """
+    return _least(_lowered(text), [(phrase.lower(), i) for i, (phrase, _) in enumerate(phrases)], [result for _, result in phrases])
+
+
+def _chunks(rules: DataFrame) -> Iterator[list[tuple[str, int]]]:
+    """Rules (phrase, rank) in lists of about AUTOMATON_RULES: one unless there are more, and each a part by hash."""
+    parts = -(-rules.count() // AUTOMATON_RULES)
+    for part in range(parts):
+        yield [(r["phrase"], r["rank"]) for r in rules.filter(F.pmod(F.xxhash64("phrase", "rank"), F.lit(parts)) == part).collect()]
+
+
+def with_least(df: DataFrame, text: Column, rules: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``name``: the least rank of ``rules`` (phrase, rank) whose phrase stands in the lower-cased text; null for none.
+
+    Rows neither move nor multiply, whatever the number of rules: beyond AUTOMATON_RULES, further automata read the same texts.
+    """
+    usable = rules.filter("phrase is not null and rank is not null").select(F.lower("phrase").alias("phrase"), F.col("rank").cast("long").alias("rank"))
+    least = usable.groupBy("phrase").agg(F.min("rank").alias("rank"))
+    lowered, found = free_name(df, "lowered"), free_name(df, "least")
+    out = df.withColumn(lowered, _lowered(text)).withColumn(found, F.lit(None).cast("long"))
+    for rows in _chunks(least):
+        out = out.withColumn(found, F.least(found, _least(F.col(lowered), rows)))
+    return out.withColumn(name, F.col(found)).drop(lowered, found)
 
-        @F.pandas_udf("string")
-        def first(texts: pd.Series) -> pd.Series:
-            return pd.Series([next((result for phrase, result in rules if phrase in t), None) for t in texts], dtype="object")
 
-        return first(lowered)
-    for phrase, result in reversed(phrases):
-        found = F.when(F.contains(lowered, F.lit(phrase.lower())), F.lit(result)).otherwise(found)
-    return found
+def first_phrases(df: DataFrame, text: Column, rules: DataFrame, name: str = "phrase_position") -> DataFrame:
+    """``df`` with the position of the first of ``rules`` (position, phrase) whose phrase stands in the lower-cased text."""
+    return with_least(df, text, rules.select("phrase", F.col("position").alias("rank")), name)
 
 
 def least_type(events: DataFrame, title: str, types: DataFrame, id_: str = "id") -> DataFrame:
     """``events`` with ``event_type_id``: the least id of the types (id, keywords) of which a keyword stands in the title."""
-    collected = types.orderBy("id").limit(INLINE_RULES + 1).collect()
-    if len(collected) > INLINE_RULES:
-        return _least_type_joined(events, title, types)
-    rows = [(r["id"], [k.lower() for k in r["keywords"] or []]) for r in collected]
-    lowered, found = F.lower(F.coalesce(F.col(title), F.lit(""))), F.lit(None).cast("long")
-    for i, keywords in reversed(rows):
-        for k in keywords:
-            found = F.when(F.contains(lowered, F.lit(k)), F.lit(i).cast("long")).otherwise(found)
-    return events.withColumn("event_type_id", found)
-
-
-def _least_type_joined(events: DataFrame, title: str, types: DataFrame) -> DataFrame:
-    """The same for any number of types: distinct titles meet blocks of about INLINE_RULES keywords, and the least id counts."""
-    words = types.select(F.col("id").cast("long").alias("id"), F.explode("keywords").alias("k")).filter("k is not null").select("id", F.lower("k").alias("k"))
-    n = words.count() // INLINE_RULES + 1
-    blocks = words.groupBy(F.pmod(F.xxhash64("id", "k"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "k")).alias("rules"))
-    titles = events.select(F.lower(F.coalesce(F.col(title), F.lit(""))).alias("_title")).distinct()
-    hits = F.transform(F.filter("rules", lambda r: F.contains(F.col("_title"), r["k"])), lambda r: r["id"])
-    found = titles.crossJoin(blocks).select("_title", F.array_min(hits).alias("i")).groupBy("_title").agg(F.min("i").alias("event_type_id"))
-    return events.drop("event_type_id").withColumn("_title", F.lower(F.coalesce(F.col(title), F.lit("")))).join(found, "_title", "left").drop("_title")
+    return with_least(events, F.col(title), types.select(F.explode("keywords").alias("phrase"), F.col(id_).alias("rank")), "event_type_id")
 
 
 def routed(events: DataFrame, rules: DataFrame) -> DataFrame:
@@ -76,11 +120,12 @@ def routed(events: DataFrame, rules: DataFrame) -> DataFrame:
 
 def categorized(df: DataFrame, category: str) -> DataFrame:
     """priority, term and department by the rule of the category, compared trimmed and in lower case."""
-    dim = df.sparkSession.createDataFrame(CATEGORY_RULES, "_key string, priority string, term string, department string").withColumn("_known", F.lit(True))
-    out = df.withColumn("_key", F.lower(F.btrim(F.col(category)))).join(F.broadcast(dim), "_key", "left")
+    key, known = free_name(df, "key"), free_name(df, "known")
+    dim = df.sparkSession.createDataFrame(CATEGORY_RULES, f"`{key}` string, priority string, term string, department string").withColumn(known, F.lit(True))
+    out = df.withColumn(key, F.lower(F.btrim(F.col(category)))).join(F.broadcast(dim), key, "left")
     for name, default in zip(("priority", "term", "department"), UNKNOWN_CATEGORY):
-        out = out.withColumn(name, F.when(F.col("_known"), F.col(name)).otherwise(default))
-    return out.drop("_key", "_known")
+        out = out.withColumn(name, F.when(F.col(known), F.col(name)).otherwise(default))
+    return out.drop(key, known)
 
 
 def labelled(code: Column, labels: dict[str, str]) -> Column:
