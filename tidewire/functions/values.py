@@ -43,9 +43,28 @@ def dedup_key(*parts: Column, title: Column, at: int = 1) -> Column:
     return F.sha2(F.concat_ws("|", *values), 256)
 
 
+def canonical_items(items: Column) -> Column:
+    """Items (JSON text of a list of objects) as canonical JSON: keys sorted at every depth, and without ``extra.file_path``, which
+    differs from fetch to fetch. Variant values keep the keys of an object sorted. Null where the text isn't such a list."""
+    found = F.try_variant_get(F.try_parse_json(items), "$", "array<map<string,variant>>")
+
+    def cleaned(item: Column) -> Column:
+        extra = F.try_variant_get(item["extra"], "$", "map<string,variant>")
+        kept = F.to_variant_object(F.map_filter(extra, lambda k, _: k != "file_path"))
+        without = F.map_concat(F.map_filter(item, lambda k, _: k != "extra"), F.create_map(F.lit("extra"), kept))
+        return F.to_variant_object(F.when(extra.isNull(), item).otherwise(without))
+
+    return F.to_json(F.to_variant_object(F.transform(found, cleaned)))
+
+
 def content_hash(items: Column) -> Column:
-    """A digest of a snapshot's items; keys keep the order of their schema."""
-    return F.sha2(F.to_json(items), 256)
+    """MD5 of a snapshot's items, a column of structs: the same whatever the order of their keys and the place of their page."""
+    return json_hash(F.to_json(items))
+
+
+def json_hash(items: Column) -> Column:
+    """``content_hash`` of items that are JSON text."""
+    return F.md5(F.coalesce(canonical_items(items), F.lit("")).cast("binary"))
 
 
 def stable_page_hash(page: Column) -> Column:

@@ -2,56 +2,84 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.targets import city_aliases
 from tidewire.functions.values import content_hash
+from tidewire.sources import commits
 
 SNAPSHOT = """
 raw_id string, meta struct<search_task_id: long, source: string, competitor: string, trigger: string, source_request_url: string,
 fetched_at: string, items_count: int, empty_reason: string, status: string>,
 items array<struct<url: string, title: string, text: string, published_at: string, region: string, media_name: string, extra: map<string, string>>>
 """
+SNAPSHOT_COLUMNS = ("raw_id", "meta", "items")
 
 
-def write_snapshots(df: DataFrame, path: str, stored: DataFrame | None = None) -> DataFrame:
-    """Append snapshots as JSON under year, month, day and trigger; items that are stored already aren't written again.
+#: What the index of a store has for each snapshot.
+INDEX = "raw_id string, task long, content_hash string"
 
-    Returns what was written, read from the store by the ids written: the new snapshots are computed once, and the answer
-    doesn't change when the folder does.
+
+def write_snapshots(df: DataFrame, path: str, batch: str | None = None) -> DataFrame:
+    """Append snapshots as JSON under year, month, day and trigger, and return what was written.
+
+    A snapshot whose task has one with equal items already isn't written again; of several in one batch the least raw_id is.
+    ``batch`` names what is written: a second run with the same name adds nothing and returns what the first one wrote. Writers
+    have folders of their own (``commits``), and the store isn't listed, however large.
     """
-    new = df.withColumn("content_hash", content_hash(F.col("items"))).dropDuplicates(["content_hash"])
-    if stored is not None:
-        new = new.join(stored.select(content_hash(F.col("items")).alias("content_hash")), "content_hash", "left_anti")
-    at = F.to_timestamp("meta.fetched_at")
-    parts = {"year": F.date_format(at, "yyyy"), "month": F.date_format(at, "MM"), "day": F.date_format(at, "dd"), "trigger": F.coalesce(F.col("meta.trigger"), F.lit("none"))}
-    before = _files(df.sparkSession, path)
-    new.drop("content_hash").withColumns(parts).write.mode("append").partitionBy(*parts).json(path)
-    added = sorted(_files(df.sparkSession, path) - before)
-    spark = df.sparkSession
-    return spark.read.schema(SNAPSHOT).json(added) if added else spark.createDataFrame([], SNAPSHOT)
-
-
-def _files(spark: SparkSession, path: str) -> set[str]:
-    """The files of a store, by Hadoop's listing, which any file system has."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(folder):
-        return set()
-    found, files = set(), system.listFiles(folder, True)
-    while files.hasNext():
-        name = files.next().getPath()
-        if name.getName().startswith("part-"):
-            found.add(name.toString())
-    return found
+    spark, batch = df.sparkSession, batch or uuid.uuid4().hex
+    if (done := commits.committed(spark, path, batch)) is None:
+        attempt = uuid.uuid4().hex
+        keyed = df.withColumn("task", F.col("meta.search_task_id")).withColumn("content_hash", content_hash(F.col("items")))
+        same = keyed.groupBy("task", "content_hash").agg(F.min("raw_id").alias("raw_id"))
+        known = index(spark, path).select("task", "content_hash")
+        new = same.join(known, same["task"].eqNullSafe(known["task"]) & (same["content_hash"] == known["content_hash"]), "left_anti")
+        at = F.to_timestamp("meta.fetched_at")
+        parts = {"year": F.date_format(at, "yyyy"), "month": F.date_format(at, "MM"), "day": F.date_format(at, "dd"), "trigger": F.coalesce(F.col("meta.trigger"), F.lit("none"))}
+        new.write.parquet(f"{path}/index/attempt={attempt}")
+        chosen = spark.read.schema(INDEX).parquet(f"{path}/index/attempt={attempt}").select("raw_id")
+        df.join(chosen, "raw_id", "left_semi").dropDuplicates(["raw_id"]).withColumns(parts).write.partitionBy(*parts).json(f"{path}/data/attempt={attempt}")
+        commits.commit(spark, path, batch, attempt)
+        done = commits.committed(spark, path, batch)
+    return _data(spark, path, [done])
+
+
+def _data(spark: SparkSession, path: str, attempts: list[str]) -> DataFrame:
+    """The snapshots of attempts; one that wrote none has no files below its folder, which Spark reads as an empty table."""
+    places = [f"{path}/data/attempt={a}" for a in attempts]
+    return (spark.read.schema(SNAPSHOT).option("basePath", f"{path}/data").json(places) if places else spark.createDataFrame([], SNAPSHOT)).select(*SNAPSHOT_COLUMNS, *([F.col("_metadata.file_path").alias("file")] if places else [F.lit(None).cast("string").alias("file")]))
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """(raw_id, task, content_hash) of the snapshots that stand: committed, not deleted, and of equal ones of a task the least id.
+
+    Two writers may commit equal snapshots at the same time; from then on all readers agree on one of them.
+    """
+    places = [f"{path}/index/attempt={a}" for a in sorted(commits.attempts(spark, path).values())]
+    every = spark.read.schema(INDEX).parquet(*places) if places else spark.createDataFrame([], INDEX)
+    gone = commits.read(spark, f"{path}/_deleted", "raw_id string")
+    return every.join(gone, "raw_id", "left_anti").groupBy("task", "content_hash").agg(F.min("raw_id").alias("raw_id")).select("raw_id", "task", "content_hash")
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SNAPSHOT).json(path).withColumn("file", F.col("_metadata.file_path"))
+    """The snapshots that stand, each with the file that holds it."""
+    return _data(spark, path, sorted(commits.attempts(spark, path).values())).join(index(spark, path).select("raw_id"), "raw_id", "left_semi")
+
+
+def delete_snapshots(ids: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Take the snapshots of ``ids`` (raw_id) out of the store: their ids are noted beside it, and no file is written again."""
+    return commits.append(ids.select(F.col("raw_id").cast("string").alias("raw_id")).distinct(), f"{path}/_deleted", batch or uuid.uuid4().hex)
+
+
+def has_snapshot(spark: SparkSession, path: str, raw_id: str) -> bool:
+    """Whether a snapshot stands; the index alone is read."""
+    return not index(spark, path).filter(F.col("raw_id") == raw_id).isEmpty()
 
 
 def snapshots_of(stored: DataFrame, raw_id: str | None = None, trigger: str | None = None, status: str | None = None, items: Column | None = None) -> DataFrame:
@@ -112,15 +140,56 @@ def is_filled(df: DataFrame, active: bool = False) -> bool:
     return not (df.filter("is_active") if active else df).isEmpty()
 
 
-def delivered(rows: DataFrame, send: Callable[[dict], None] | None = None) -> None:
-    """Hand each row to an injected sender, partition by partition; without one nothing is sent."""
+def counts(df: DataFrame, active: str = "is_active") -> DataFrame:
+    """(n, n_active): the rows of a layer, and those that are active (all, where it has no such column)."""
+    return df.agg(F.count("*").alias("n"), (F.count_if(F.col(active)) if active in df.columns else F.count("*")).alias("n_active"))
+
 
-    def each(part) -> None:
-        for row in part:
-            send(row.asDict(recursive=True))
+#: What the log of deliveries has for each row.
+OUTCOME = "id string, status string, error string, sent_at timestamp"
+Send = Callable[[dict], None]
 
-    if send is not None:
-        rows.foreachPartition(each)
+
+def attempted(rows: DataFrame, send: Send, key: str) -> DataFrame:
+    """(id, status, error, sent_at): what came of handing each row to ``send``, task by task; a sender that raises fails its row alone."""
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            made = []
+            for row in part.to_dict("records"):
+                try:
+                    send(row)
+                except Exception as error:  # noqa: BLE001  whatever a sender raises is this row's outcome
+                    made.append((str(row[key]), "failed", f"{type(error).__name__}: {error}", pd.NaT))
+                else:
+                    made.append((str(row[key]), "sent", None, pd.Timestamp.now("UTC").tz_localize(None)))
+            out = pd.DataFrame(made, columns=["id", "status", "error", "sent_at"])
+            yield out.astype({"sent_at": "datetime64[ns]"})
+
+    return rows.mapInPandas(each, OUTCOME)
+
+
+def delivered(rows: DataFrame, send: Send | None, path: str, batch: str, key: str = "id") -> DataFrame:
+    """Send the rows that were never sent, and return (id, status, error, sent_at) of this batch.
+
+    Outcomes are kept in a log: what was sent isn't sent again by any batch, what failed is tried again by the next, and a batch
+    that is repeated sends nothing. Without a sender rows count as sent. A task that is run again sends its rows again, as Spark
+    can't tell how far the first run came; a sender should pass the id on, so that its service can drop repeats.
+    """
+    spark = rows.sparkSession
+    if commits.committed(spark, path, batch) is None:
+        log = commits.read(spark, path, OUTCOME)
+        waiting = rows.join(log.filter("status = 'sent'").select(F.col("id").alias("_sent_id")), F.col(key).cast("string") == F.col("_sent_id"), "left_anti").dropDuplicates([key])
+        nothing = waiting.select(F.col(key).cast("string").alias("id"), F.lit("sent").alias("status"), F.lit(None).cast("string").alias("error"), F.current_timestamp().alias("sent_at"))
+        commits.append(nothing if send is None else attempted(waiting, send, key), path, batch)
+    attempt = commits.committed(spark, path, batch)
+    return spark.read.schema(OUTCOME).parquet(f"{path}/attempt={attempt}")
+
+
+def delivery_state(spark: SparkSession, path: str) -> DataFrame:
+    """(id, status, error, sent_at, attempts) of every row that was ever handed over: sent if any attempt was."""
+    log = commits.read(spark, path, OUTCOME)
+    return log.groupBy("id").agg(F.max("status").alias("status"), F.min("error").alias("error"), F.min("sent_at").alias("sent_at"), F.count("*").alias("attempts")).withColumn("error", F.when(F.col("status") == "failed", F.col("error")))
 
 
 #: Parsers of sources by name: functions from pages (url, html) to snapshot items.
