@@ -1,22 +1,32 @@
 """The enrichment stage: injected models as DataFrame functions, the merge of their outputs, and what is stored of it.
 
 A model is a function from a DataFrame to (id, value): a language-model client in production, a lookup table in tests. Each
-step below feeds it the rows it is for, and fills in what the step gives where the model fails or leaves a row out. A model that
-raises while its plan is built counts as failed for the whole batch.
+step below feeds it the rows it is for, and fills in what the step gives where the model fails or leaves a row out. A client that
+takes lists of rows becomes a model by ``batched``: it is called with a few rows at a time inside the tasks, and a batch on which
+it keeps raising fails alone. A model that raises while its plan is built counts as failed for all rows; what Spark itself
+raises, as on a column that doesn't exist, is the program's fault and is raised.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.urls import domain
 from tidewire.functions.values import deadline
+from tidewire.operators.rows import free_name, newest
 
 Model = Callable[[DataFrame], DataFrame]
+#: A client of a language model: from the rows of a batch to as many answers, None for a row that it leaves out.
+Client = Callable[[list[dict]], list]
+#: Rows of a batch, calls of a batch that raises, and seconds before the second call, which double from then on.
+BATCH, CALLS, PAUSE = 16, 3, 0.5
 
 # What stands where a model fails, leaves a row out, or gets a row without a field.
 COMMENT_FAILED, ACTION_FAILED = "Ошибка генерации", "Требуется ручной анализ"
@@ -26,16 +36,55 @@ CONTEXT = {"text": "Текст отсутствует", "category": "Неизв
 TASK_PREFIX = "Отработать событие: "
 
 
+def batched(client: Client, kind: str = "string", size: int = BATCH, calls: int = CALLS, pause: float = PAUSE) -> Model:
+    """A model that calls ``client`` with ``size`` rows at a time, inside the tasks, and again when it raises.
+
+    It gives (id, value, failed): a batch whose last call raises has ``failed`` in all its rows, as has one with too few answers; the
+    other batches keep their answers. A row without an answer is left out. Tasks hold one batch at a time.
+    """
+
+    def ask(rows: list[dict]) -> list | None:
+        for call in range(calls):
+            if call:
+                time.sleep(pause * 2 ** (call - 1))
+            try:
+                answers = client(rows)
+            except Exception:  # noqa: BLE001  whatever a client raises, its batch is asked again and then given up
+                continue
+            if len(answers) == len(rows):
+                return answers
+        return None
+
+    def model(rows: DataFrame) -> DataFrame:
+        def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                every = part.astype(object).where(part.notna(), None).to_dict("records")
+                for start in range(0, len(every), size):
+                    some = every[start : start + size]
+                    answers = ask(some)
+                    values = [None] * len(some) if answers is None else answers
+                    made = [(row["id"], v, answers is None) for row, v in zip(some, values) if answers is None or v is not None]
+                    yield pd.DataFrame(made, columns=["id", "value", "failed"]).astype({"id": part["id"].dtype, "failed": bool})
+
+        return rows.mapInPandas(each, f"id {rows.schema['id'].dataType.simpleString()}, value {kind}, failed boolean")
+
+    return model
+
+
 def answered(rows: DataFrame, model: Model, name: str, failed: Column, missing: Column, asked: Column | None = None) -> DataFrame:
-    """``rows`` with the model's value: ``missing`` where it leaves a row out, ``failed`` everywhere if it raises, null where the
-    row wasn't asked about."""
+    """``rows`` with the model's value: ``missing`` where it leaves a row out, ``failed`` where it says so (or everywhere, if it
+    raises while its plan is built), null where the row wasn't asked about."""
     wanted = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
     try:
-        found = model(rows.filter(wanted)).select("id", F.col("value").alias(f"_{name}"), F.lit(True).alias("_answered"))
+        made = model(rows.filter(wanted))
+    except PySparkException:
+        raise
     except Exception:  # noqa: BLE001  a model's own failure, whatever it is, must not lose the batch
         return rows.withColumn(name, F.when(wanted, failed))
-    out = rows.join(found, "id", "left")
-    return out.withColumn(name, F.when(wanted, F.when(F.col("_answered"), F.col(f"_{name}")).otherwise(missing))).drop(f"_{name}", "_answered")
+    value, known, bad = free_name(rows, name), free_name(rows, "answered"), free_name(rows, "failed")
+    gave_up = F.coalesce("failed", F.lit(False)) if "failed" in made.columns else F.lit(False)
+    out = rows.join(made.select("id", F.col("value").alias(value), F.lit(True).alias(known), gave_up.alias(bad)), "id", "left")
+    return out.withColumn(name, F.when(wanted, F.when(F.col(bad), failed).when(F.col(known), F.col(value)).otherwise(missing))).drop(value, known, bad)
 
 
 def not_categorized(silver: DataFrame, gold: DataFrame) -> DataFrame:
@@ -83,7 +132,8 @@ def expected(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def merged(parts: dict[str, DataFrame]) -> DataFrame:
-    """One row for each id that any part has, with a column a part: parts are (id, value), of which the last of an id counts.
+    """One row for each id that any part has, with a column a part: parts are (id, value), and where an id is repeated its value
+    with the greatest ``at`` counts, a column that a part may have; then the greatest value, so that no partitioning matters.
 
     Parts are stacked and grouped once, not joined one by one.
     """
@@ -91,9 +141,12 @@ def merged(parts: dict[str, DataFrame]) -> DataFrame:
     kinds = {c: parts[c].schema["value"].dataType.simpleString() for c in slots}
 
     def slotted(name: str) -> DataFrame:
-        return parts[name].select("id", *[(F.col("value") if c == name else F.lit(None).cast(kinds[c])).alias(c) for c in slots])
+        own = F.when(F.col("value").isNotNull(), F.struct((F.col("at") if "at" in parts[name].columns else F.lit(0)).alias("at"), F.col("value")))
+        return parts[name].select("id", *[(own if c == name else F.lit(None).cast(f"struct<at:{ats[c]},value:{kinds[c]}>")).alias(c) for c in slots])
 
-    return reduce(DataFrame.unionByName, map(slotted, slots)).groupBy("id").agg(*[F.last(c, ignorenulls=True).alias(c) for c in slots])
+    ats = {c: parts[c].schema["at"].dataType.simpleString() if "at" in parts[c].columns else "int" for c in slots}
+    best = reduce(DataFrame.unionByName, map(slotted, slots)).groupBy("id").agg(*[F.max(c).alias(c) for c in slots])
+    return best.select("id", *[F.col(f"`{c}`.value").alias(c) for c in slots])
 
 
 def named_ids(rows: DataFrame, name: str, dim: DataFrame, out: str) -> DataFrame:
@@ -115,9 +168,20 @@ def events(answers: DataFrame, silver: DataFrame, categories: DataFrame, departm
 
 
 def new_sources(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Candidates (competitor_id, url, score) with the domain of their URL, which isn't known yet; one row a competitor and domain."""
+    """Candidates (competitor_id, url, score) with the domain of their URL, which isn't known yet; one row a competitor and domain:
+    the one with the best score, then the first URL."""
     rows = found.withColumn("domain", domain(F.col("url"))).filter("domain is not null and url is not null")
-    return rows.dropDuplicates(["competitor_id", "domain"]).join(known.select("domain").distinct(), "domain", "left_anti")
+    fresh = rows.join(known.select("domain").distinct(), "domain", "left_anti")
+    return newest(fresh, ["competitor_id", "domain"], [F.col("score").desc_nulls_last(), F.asc("url")] if "score" in found.columns else [F.asc("url")])
+
+
+def found_sources(competitors: DataFrame, finder: Client, known: DataFrame, size: int = BATCH) -> DataFrame:
+    """New sources of competitors (id, name) from an injected finder, which answers each with a list of (url, score).
+
+    The finder is called like any model, in batches; competitors whose batch fails find nothing in this run.
+    """
+    answers = batched(finder, "array<struct<url: string, score: double>>", size)(competitors).filter("not failed")
+    return new_sources(answers.select(F.col("id").alias("competitor_id"), F.explode("value").alias("x")).select("competitor_id", "x.url", "x.score"), known)
 
 
 def fallback_task(action: Column, title: Column) -> Column:
