@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,42 @@ def page(df: DataFrame, order: list[Column], limit: int = 100, offset: int = 0)
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, keys: list[tuple[str, bool]], last: tuple | None, limit: int = 100) -> DataFrame:
+    """The page that follows the row with the keys ``last`` (None: the first page): a filter that a scan can use, and a top-k of a page.
+
+    ``keys``: columns and whether they descend; together they are unique and not null.
+    """
+    order = [F.desc(c) if down else F.asc(c) for c, down in keys]
+    if last is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for (c, down), value in zip(keys, last):
+            beyond = beyond | (same & ((F.col(c) < F.lit(value)) if down else (F.col(c) > F.lit(value))))
+            same = same & (F.col(c) == F.lit(value))
+        df = df.filter(beyond)
+    return df.orderBy(*order).limit(limit)
+
+
+def write_ordered(df: DataFrame, order: list[Column], path: str) -> None:
+    """Write ``df`` in ranges of an order, for ``page_at``; ``order`` has a unique end."""
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(path)
+
+
+def page_at(spark: SparkSession, path: str, order: list[Column], limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page by offset, however deep, of a table of ``write_ordered``.
+
+    The ranges are counted (from the files' footers, a row a range), and only those that hold the page are read and sorted.
+    """
+    table, before, here = spark.read.parquet(path), 0, []
+    skipped = 0
+    for r in sorted(table.groupBy("_range").count().collect()):
+        if before < offset + limit and before + r["count"] > offset:
+            here.append(r["_range"])
+        elif before + r["count"] <= offset:
+            skipped = before + r["count"]
+        before += r["count"]
+    return table.filter(F.col("_range").isin(here)).drop("_range").orderBy(*order).offset(offset - skipped).limit(limit)
+
+
 def scoped(df: DataFrame, role: str, department, column: str = "department_id") -> DataFrame:
     """What a user may see: viewers their own department, and nothing without one; others everything."""
     if role != "viewer":
