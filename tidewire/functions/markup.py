@@ -129,36 +129,45 @@ def page_items(page: Column, address: Column, most: int = 20) -> Column:
     return F.transform(F.array(anchors(page, address)), lambda found: F.slice(once(F.filter(found, wanted)), 1, most))[0]
 
 
-def _packed(blocks: list[str], most: int, overlap: int) -> list[str]:
-    out, current = [], []
-    for block in blocks:
-        if len(block) > most:
-            if current:
-                out.append("\n".join(current))
-                current = []
-            step = max(1, most - overlap)
-            out += [block[i : i + most] for i in range(0, max(1, len(block) - overlap), step)]
-            continue
-        if current and sum(map(len, current)) + len(block) > most:
-            out.append("\n".join(current))
-            again, size = [], 0
-            while current and size + len(current[-1]) <= overlap:
-                again.insert(0, current.pop())
-                size += len(again[0])
-            current = again
-        current.append(block)
-    return [*out, "\n".join(current)] if current else out
+def packed_blocks(blocks: Column, most: int = CHUNK_LENGTH, overlap: int = OVERLAP) -> Column:
+    """Blocks packed in order into chunks (text, first, last) of ``most`` characters, with the numbers of their first and last block.
 
+    A chunk begins with the last blocks of the one before that are ``overlap`` characters together at most; a block that is too
+    long alone is cut into windows. One fold over the blocks; null has no chunks.
+    """
+    chunk, step = "struct<text: string, first: int, last: int>", max(1, most - overlap)
+    none, no_chunks = F.array().cast("array<string>"), F.array().cast(f"array<{chunk}>")
+    length = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
 
-def packed(blocks: Column, most: int = CHUNK_LENGTH, overlap: int = OVERLAP) -> Column:
-    """Blocks packed in order into chunks of ``most`` characters; a chunk begins with the last blocks of the one before that are
-    ``overlap`` characters together at most; a block that is too long alone is cut into windows."""
+    def closed(s: Column, last: Column) -> Column:
+        own = F.struct(F.array_join(s["current"], "\n").alias("text"), s["first"].alias("first"), last.cast("int").alias("last"))
+        return F.when(F.size(s["current"]) > 0, F.concat(s["out"], F.array(own))).otherwise(s["out"])
 
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series([_packed(list(b), most, overlap) if b is not None else [] for b in part], dtype=object)
+    def windows(x: Column, i: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.floor((F.length(x) - overlap - 1) / step), F.lit(0)).cast("int"))
+        return F.transform(starts, lambda k: F.struct(F.substring(x, k * step + 1, F.lit(most)).alias("text"), i.alias("first"), i.alias("last")))
+
+    def repeated(current: Column) -> Column:
+        """The longest end of a chunk's blocks that is short enough."""
+        fits = F.filter(F.sequence(F.lit(1), F.size(current)), lambda k: length(F.slice(current, k, F.size(current) - k + 1)) <= overlap)
+        return F.when(F.size(fits) > 0, F.slice(current, F.get(fits, F.lit(0)), F.size(current))).otherwise(none)
 
-    return F.pandas_udf(of, "array<string>")(blocks)
+    def step_on(s: Column, b: Column) -> Column:
+        x, i = b["x"], b["i"]
+        long = F.struct(F.concat(closed(s, i - 1), windows(x, i)).alias("out"), none.alias("current"), (i + 1).alias("first"))
+        again = repeated(s["current"])
+        full = F.struct(closed(s, i - 1).alias("out"), F.concat(again, F.array(x)).alias("current"), (i - F.size(again)).alias("first"))
+        more = F.struct(s["out"].alias("out"), F.concat(s["current"], F.array(x)).alias("current"), s["first"].alias("first"))
+        return F.when(F.length(x) > most, long).when((F.size(s["current"]) > 0) & (length(s["current"]) + F.length(x) > most), full).otherwise(more)
+
+    numbered = F.transform(F.coalesce(blocks, none), lambda x, i: F.struct(F.coalesce(x, F.lit("")).alias("x"), i.alias("i")))
+    start = F.struct(no_chunks.alias("out"), none.alias("current"), F.lit(0).alias("first"))
+    return F.aggregate(numbered, start, step_on, lambda s: closed(s, F.size(numbered) - 1))
+
+
+def packed(blocks: Column, most: int = CHUNK_LENGTH, overlap: int = OVERLAP) -> Column:
+    """The texts of ``packed_blocks``."""
+    return F.transform(packed_blocks(blocks, most, overlap), lambda c: c["text"])
 
 
 def loose_object(answer: Column) -> Column:

@@ -57,21 +57,53 @@ def is_fetchable(url: Column) -> Column:
     return F.coalesce(scheme.isin("", "http", "https"), F.lit(False))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments, by a fold over the segments (RFC 3986, 5.2.4)."""
+    segments = F.split(path, "/", -1)
+    last = F.size(segments) - 1
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, s: Column) -> Column:
+        at_end = s["i"] == last
+        end = F.when(at_end, F.array(F.lit(""))).otherwise(none)  # a dot at the end leaves its slash
+        # The empty segment before the first slash is never taken away.
+        up = F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+        return F.when(s["x"] == ".", F.concat(kept, end)).when(s["x"] == "..", F.concat(up, end)).otherwise(F.concat(kept, F.array(s["x"])))
+
+    numbered = F.transform(segments, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    return F.array_join(F.aggregate(numbered, none, step), "/")
+
+
 def absolute(url: Column, page: Column) -> Column:
-    """A link made absolute against its page's address."""
-    scheme, root = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/(?:[^?#]*/)?)", 1)
+    """A link made absolute against its page's address (RFC 3986, 5.2), dot segments, queries and fragments included."""
+    part = lambda c, group: F.regexp_extract(c, r"^(?s)([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$", group)
+    scheme, host, path, query, fragment = (part(url, g) for g in range(1, 6))
+    p_scheme, p_host, p_path, p_query = (part(page, g) for g in range(1, 5))
+    folder = F.regexp_extract(p_path, r"^(.*/)", 1)
+    beside = F.when((p_host != "") & (p_path == ""), F.concat(F.lit("/"), path)).otherwise(F.concat(folder, path))
+    new_path = F.when(path == "", p_path).when(F.startswith(path, F.lit("/")), without_dots(path)).otherwise(without_dots(beside))
+    new_query = F.when((path == "") & (query == ""), p_query).otherwise(query)
+    opaque = (scheme != "") & (host == "") & ~F.startswith(path, F.lit("/"))  # mailto:, javascript: and their like
     return (
-        F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url)
-        .when(F.startswith(url, F.lit("//")), F.concat(scheme, url))
-        .when(F.startswith(url, F.lit("/")), F.concat(root, url))
-        .otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), url))
+        F.when(opaque, url)
+        .when(scheme != "", F.concat(scheme, host, without_dots(path), query, fragment))
+        .when(host != "", F.concat(p_scheme, host, without_dots(path), query, fragment))
+        .otherwise(F.concat(p_scheme, p_host, new_path, new_query, fragment))
     )
 
 
 def links(page: Column) -> Column:
-    """The addresses of a page's anchors, in order."""
-    return F.regexp_extract_all(page, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))
+    """The addresses of a page's anchors, in order: in double or single quotes, or bare."""
+    found = F.regexp_extract_all(page, F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""), F.lit(1))
+    return F.transform(found, lambda x: F.when(x.rlike("^[\"']"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x))
+
+
+def labelled_links(page: Column, address: Column) -> Column:
+    """(href, text) of a page's anchors in order: absolute addresses, and what stands between the tags without mark-up."""
+    found = F.regexp_extract_all(page, F.lit(r"(?is)(<a\s(?:(?!</a\s*>).)*)</a\s*>"), F.lit(1))
+    href = lambda x: absolute(F.get(links(x), F.lit(0)), address)
+    text = lambda x: F.btrim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?s)^<a[^>]*>", ""), r"(?s)<[^>]*>", " "), r"\s+", " "))
+    return F.filter(F.transform(found, lambda x: F.struct(href(x).alias("href"), text(x).alias("text"))), lambda a: a["href"].isNotNull())
 
 
 def page_address(url: Column, number: Column, parameter: str = "page", size: int | None = None) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Markers looked for in the lower-cased page.
 SPA = ("ng-", "angular", "data-reactroot", 'id="app"', 'id="root"', "vue", "nuxt", "next-data")
 CAPTCHA = ("captcha",)
-ANTIBOT = ("cloudflare", "cf-ray", "cf-cache-status", "datadome", "qrator", "qrator_jsr", "__qrator", "jsid", "akamai", "incapsula", "ddos-guard")
+ANTIBOT = ("cloudflare", "cf-ray", "cf-cache-status", "datadome", "qrator", "qrator_jsr", "__qrator", "jsid", "akamai", "incapsula")
 # What tells the type of a source, in its name or URL (news: the URL alone), and the weights of types.
 API = ("api.", "api-", ".api.")
 REGISTRY = ("fedresurs.ru", "fips.ru", "zakupki.gov.ru", "kad.arbitr.ru", "nalog.ru", "egrul.nalog.ru")
