@@ -435,8 +435,8 @@ def jaccard_links(spark, d):
 
 
 @query("""select page_id, regexp_matches(lower(html), 'ng-|angular|data-reactroot|id="app"|id="root"|vue|nuxt|next-data') as spa, regexp_matches(lower(html), 'captcha') as captcha,
-regexp_matches(lower(html), 'cloudflare|ddos-guard') as antibot, len(regexp_extract_all(html, '<a')) as n_links,
-round(least(1.0, 0.2 * regexp_matches(lower(html), 'ng-|angular|data-reactroot|id="app"|id="root"|vue|nuxt|next-data')::int + 0.3 * regexp_matches(lower(html), 'captcha')::int + 0.3 * regexp_matches(lower(html), 'cloudflare|ddos-guard')::int), 4) as complexity from pages""")
+regexp_matches(lower(html), 'cloudflare|cf-ray|cf-cache-status|datadome|qrator|qrator_jsr|__qrator|jsid|akamai|incapsula') as antibot, len(regexp_extract_all(html, '<a')) as n_links,
+round(least(1.0, 0.2 * regexp_matches(lower(html), 'ng-|angular|data-reactroot|id="app"|id="root"|vue|nuxt|next-data')::int + 0.3 * regexp_matches(lower(html), 'captcha')::int + 0.3 * regexp_matches(lower(html), 'cloudflare|cf-ray|cf-cache-status|datadome|qrator|qrator_jsr|__qrator|jsid|akamai|incapsula')::int), 4) as complexity from pages""")
 def classify_pages(spark, d):
     from tidewire.operators.classify import flags
 
