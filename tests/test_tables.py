@@ -242,3 +242,12 @@ def test_pages(spark, tmp_path, offset):
     last = wanted[offset - 1] if 0 < offset <= len(wanted) else None
     if offset == 0 or last:
         assert [tuple(r) for r in mart.page_after(df, [("k", True), ("id", False)], last, 25).collect()] == wanted[offset : offset + 25]
+
+
+def test_columns_with_inner_names_stay(spark):
+    """Temporary columns take names that a table doesn't have."""
+    table = spark.createDataFrame([(1, "a", "own"), (2, "b", "own")], "id int, v string, _patch string").withColumns({c: F.lit("own") for c in ("_hit", "_v", "_mark", "_change")})
+    out = rows.patched(table, spark.createDataFrame([(1, None)], "id int, v string"), "id", ["v"])
+    assert {r["id"]: r["v"] for r in out.collect()} == {1: None, 2: "b"} and {x for r in out.collect() for x in (r["_patch"], r["_hit"], r["_v"])} == {"own"}
+    marked = state.marked(table, table.filter("id = 1"), "v", F.lit("now"))
+    assert {r["id"]: (r["v"], r["_mark"]) for r in marked.collect()} == {1: ("now", "own"), 2: ("b", "own")}

@@ -68,11 +68,12 @@ def patched(stored: DataFrame, patch: DataFrame, key: str, columns: list[str]) -
     """``stored`` with ``columns`` from the row of ``patch`` with its key, where there is one."""
     if not columns:
         raise ValueError("a patch needs columns")
-    named = patch.select(F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns])
+    new = free_name(stored, "patch")
+    named = patch.select(F.col(key), F.struct(*columns).alias(new))
     out = stored.join(named, key, "left")
     for c in columns:
-        out = out.withColumn(c, F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)))
-    return out.drop("_hit", *[f"_{c}" for c in columns])
+        out = out.withColumn(c, F.when(F.col(new).isNotNull(), F.col(new)[c]).otherwise(F.col(c)))
+    return out.drop(new)
 
 
 def orphans(df: DataFrame, column: str, dim: DataFrame, key: str = "id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.urls import host
-from tidewire.operators.rows import matrix
+from tidewire.operators.rows import free_name, matrix
 
 #: Layers of the pipeline, each downstream of the one before.
 PIPELINE_ORDER = ("raw_item", "normalized_item", "categorized_event", "showcase_event", "alert", "action_item", "source_candidate")
@@ -21,8 +21,9 @@ RESET_AT, STALE_SECONDS = 2, 1800
 
 def marked(table: DataFrame, considered: DataFrame, column: str, now: Column, key: str = "id") -> DataFrame:
     """``table`` with ``column`` set to ``now`` on every considered row, whatever came of it; ``updated_at`` stays."""
-    ids = considered.select(F.col(key), F.lit(True).alias("_mark")).distinct()
-    return table.join(ids, key, "left").withColumn(column, F.when(F.col("_mark"), now).otherwise(F.col(column))).drop("_mark").select(*table.columns)
+    mark = free_name(table, "mark")
+    ids = considered.select(F.col(key), F.lit(True).alias(mark)).distinct()
+    return table.join(ids, key, "left").withColumn(column, F.when(F.col(mark), now).otherwise(F.col(column))).select(*table.columns)
 
 
 def reparsed(stored: DataFrame, new: DataFrame, key: str = "dedup_key") -> DataFrame:
@@ -30,10 +31,10 @@ def reparsed(stored: DataFrame, new: DataFrame, key: str = "dedup_key") -> DataF
 
     A row that a limit had rejected is valid again until the limits run again. Of equal keys in ``new`` the caller keeps one.
     """
-    changes = new.select(key, F.col("status").alias("_status"), F.col("reject_reason").alias("_reason"), F.lit(True).alias("_hit"))
-    kept = stored.join(changes, key, "left")
-    for column, value in (("status", "_status"), ("reject_reason", "_reason")):
-        kept = kept.withColumn(column, F.when(F.col("_hit"), F.col(value)).otherwise(F.col(column)))
+    change = free_name(stored, "change")
+    kept = stored.join(new.select(key, F.struct("status", "reject_reason").alias(change)), key, "left")
+    for column in ("status", "reject_reason"):
+        kept = kept.withColumn(column, F.when(F.col(change).isNotNull(), F.col(change)[column]).otherwise(F.col(column)))
     return kept.select(*stored.columns).unionByName(new.join(stored.select(key), key, "left_anti").select(*stored.columns))
 
 
