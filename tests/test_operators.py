@@ -195,3 +195,14 @@ def test_delivery_and_strategy(spark):
     assert each(spark, ["instant"], lambda m: rules.delivery(m, F.lit("email"), F.lit(None).cast("boolean"))) == ["failed"]
     no, yes = F.lit(False), F.lit(True)
     assert spark.range(1).select(classify.strategy(no, yes, no, no), classify.strategy(yes, yes, yes, yes), classify.strategy(no, no, yes, yes)).first()[:] == ("BROWSER", "FAST", "HITL")
+
+
+def test_demo_index_is_repeatable(spark):
+    """A stand-in between 1 and 5, the same for the same id, with two decimals."""
+    once, again = ([r[0] for r in spark.range(500).repartition(n).select(targets.demo_index(F.col("id")).alias("x"), "id").orderBy("id").select("x").collect()] for n in (1, 5))
+    assert once == again and all(1 <= x <= 5 and round(x, 2) == x for x in once) and len(set(once)) > 200
+
+
+def test_limit_windows_have_names(spark):
+    with pytest.raises(ValueError):
+        rows.window_start("month", F.lit(1), F.lit(2))

@@ -54,6 +54,21 @@ def limited(df: DataFrame, key: str, most: int, since, time: str = "created_at",
     return out.withColumn("reject_reason", reason).withColumn("status", status).select(*df.columns)
 
 
+def window_start(window: str, now: Column, run_started: Column) -> Column:
+    """Since when a limit counts: the start of the run, a day ago, or a week ago."""
+    days = {"day": 1, "week": 7}
+    if window != "run" and window not in days:
+        raise ValueError(f"a limit's window is run, day or week, not {window}")
+    return run_started if window == "run" else now - F.expr(f"interval {days[window]} days")
+
+
+def over_limits(df: DataFrame, limits: list[tuple[str, str, int]], now: Column, run_started: Column) -> DataFrame:
+    """``limited`` by each rule (column, window, most) in turn: a later rule counts what the earlier ones have left."""
+    for key, window, most in limits:
+        df = limited(df, key, most, window_start(window, now, run_started))
+    return df
+
+
 def insert_ignore(new: DataFrame, stored: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Rows of ``new`` that are really inserted: the first of each key that isn't stored yet."""
     return newest(new, keys, order).join(stored.select(*keys), keys, "left_anti")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import markup, urls, values
-from tidewire.operators import enrichment, gate, rules
+from tidewire.operators import enrichment, gate, rows, rules
 from tidewire.plans import mart
 from tidewire.queries import query, read
 from tidewire.sources import merged, store
@@ -300,3 +300,19 @@ def deep_page(spark, d):
     path, order = fresh_folder(spark, "ordered"), [F.desc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_suppkey"), F.asc("l_partkey")]
     mart.write_ordered(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"), order, path)
     return mart.page_at(spark, path, order, 50, 5000).select("l_orderkey", "l_linenumber", "l_suppkey")
+
+
+@query("""
+with m as (select max(ts) as now, max(ts) - interval 3 hour as run from events),
+a as (select event_id, user_id, event_type, ts, now, run, ts >= now - interval 1 day as e, row_number() over (partition by user_id, ts >= now - interval 1 day order by ts desc, event_id desc) as rn from events, m),
+b as (select *, e and rn > 2 as gone_a, ts >= run as in_run from a),
+c as (select *, row_number() over (partition by event_type, in_run and not gone_a order by ts desc, event_id desc) as rn2 from b),
+d as (select *, gone_a or (in_run and not gone_a and rn2 > 4) as gone_b, ts >= now - interval 7 day as week from c),
+f as (select *, row_number() over (partition by user_id, week and not gone_b order by ts desc, event_id desc) as rn3 from d)
+select event_id as id, case when gone_b or (week and not gone_b and rn3 > 3) then 'noise_limit' end as reject_reason from f""")
+def limit_windows(spark, d):
+    """Limits over a day, the run and a week, one after another."""
+    items = read(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", F.col("ts").alias("created_at"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reject_reason"))
+    last = items.agg(F.max("created_at").alias("now"), (F.max("created_at") - F.expr("interval 3 hours")).alias("run"))
+    limits = [("user_id", "day", 2), ("event_type", "run", 4), ("user_id", "week", 3)]
+    return rows.over_limits(items.crossJoin(F.broadcast(last)), limits, F.col("now"), F.col("run")).select("id", "reject_reason")
