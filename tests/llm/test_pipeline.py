@@ -5,7 +5,7 @@ from comparison import SF
 from test_near_duplicates import left_by_hand
 
 import corpus_pipeline
-from tidewire.llm.shared import n_words, saved
+from tidewire.llm.shared import n_words, recorded, saved, settled
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +46,21 @@ def test_mix_size(steps):
 def test_tokens(steps):
     assert steps[5].count() == steps[4].count()
     assert steps[5].filter("n_tokens < 2 or n_tokens <> size(ids)").count() == 0
+
+
+def test_recorders_of_equal_tables(spark):
+    """An inner recorder ends by itself, though an outer one holds the same tables; the outer one goes on."""
+    with recorded(outer := []):
+        out = settled(lambda: saved(spark.range(3), "part"), "whole")
+        assert out.count() == 3
+    assert len(outer) == 2 and outer[1] is out
+
+
+def test_run_whole(spark):
+    """The registered query from first to last stage: the rows of the stages written one by one."""
+    rows = corpus_pipeline.run(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = saved(stage(spark, docs, SF), name)
+    assert rows.count() == docs.count() > 0
+    assert rows.exceptAll(docs).count() == 0
