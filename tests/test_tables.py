@@ -110,6 +110,14 @@ def test_model_batches_fail_alone(spark, tmp_path):
         enrichment.categorized(base, lambda df: df.select("id", "no_such_column"))
 
 
+def test_model_gives_a_frame_for_many_calls(spark, monkeypatch):
+    """Answers of small batches go back to Spark together: as many frames as Arrow batches, not as calls."""
+    base, frames = spark.range(100).coalesce(1), []
+    monkeypatch.setattr(type(base), "mapInPandas", lambda df, each, schema: frames.extend(each(iter([df.toPandas(), df.limit(0).toPandas()]))))
+    enrichment.batched(lambda batch: [None if batch[0]["id"] % 5 == 0 else "x"], size=1)(base)
+    assert [len(f) for f in frames] == [80, 0] and set(frames[0]["id"]) == {i for i in range(100) if i % 5}
+
+
 def test_finder(spark):
     competitors = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
     finder = lambda batch: [[(f"https://{r['name']}.ru/2", 0.5), (f"https://{r['name']}.ru/1", 0.5), ("https://known.ru/", 0.9), (f"https://{r['name']}.com/", 0.1)] for r in batch]

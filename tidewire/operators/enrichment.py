@@ -40,7 +40,8 @@ def batched(client: Client, kind: str = "string", size: int = BATCH, calls: int
     """A model that calls ``client`` with ``size`` rows at a time, inside the tasks, and again when it raises.
 
     It gives (id, value, failed): a batch whose last call raises has ``failed`` in all its rows, as has one with too few answers; the
-    other batches keep their answers. A row without an answer is left out. Tasks hold one batch at a time.
+    other batches keep their answers. A row without an answer is left out. Tasks hold one of Spark's Arrow batches at a time, and give
+    its answers as one: a frame for each call would cost more than a quick client does.
     """
 
     def ask(rows: list[dict]) -> list | None:
@@ -58,13 +59,13 @@ def batched(client: Client, kind: str = "string", size: int = BATCH, calls: int
     def model(rows: DataFrame) -> DataFrame:
         def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                every = part.astype(object).where(part.notna(), None).to_dict("records")
+                every, made = part.astype(object).where(part.notna(), None).to_dict("records"), []
                 for start in range(0, len(every), size):
                     some = every[start : start + size]
                     answers = ask(some)
                     values = [None] * len(some) if answers is None else answers
-                    made = [(row["id"], v, answers is None) for row, v in zip(some, values) if answers is None or v is not None]
-                    yield pd.DataFrame(made, columns=["id", "value", "failed"]).astype({"id": part["id"].dtype, "failed": bool})
+                    made += [(row["id"], v, answers is None) for row, v in zip(some, values) if answers is None or v is not None]
+                yield pd.DataFrame(made, columns=["id", "value", "failed"]).astype({"id": part["id"].dtype, "failed": bool})
 
         return rows.mapInPandas(each, f"id {rows.schema['id'].dataType.simpleString()}, value {kind}, failed boolean")
 
