@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidewire.llm import curriculum
+from tidewire.llm import curriculum, queries
 
 TEXTS = [(i, " ".join(f"w{j}" for j in range(1 + i % 13)), f"s{i % 3}" if i % 7 else None) for i in range(90)]
 ODD = [(200, None, "s1"), (201, "", "s1"), (202, "  a b\tc\n d ", "s2"), (203, "same", "s0"), (203, "same", "s0"), (None, "x y", "s2"), (None, "x z", "s2")]
@@ -36,3 +36,31 @@ def test_mix_follows_the_plan(spark):
 
 def test_empty(spark):
     assert curriculum.mixed(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_query_counts_the_mix_in_its_order(spark, tmp_path, monkeypatch):
+    """What op8 returns comes out of the mix: words counted in its texts, in rows that follow the schedules, which move them."""
+    spark.createDataFrame(TEXTS + ODD, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def returned():
+        words, first = Counter(), {}
+        for r in curriculum.mixed(docs).collect():
+            words[r["doc_id"]] += len(r["text"].split())
+            first.setdefault(r["doc_id"], r["position"])
+        rows = queries.op8_curriculum(spark, str(tmp_path)).collect()
+        assert len(rows) == len(TEXTS + ODD)
+        given = Counter()
+        for r in rows:
+            given[r["doc_id"]] += r["taken"]
+        assert +given == +words
+        single = [r["doc_id"] for r in rows if r["doc_id"] not in (None, 203)]
+        taken = [i for i in single if words[i]]
+        assert single[: len(taken)] == taken
+        assert [first[i] for i in taken] == sorted(first[i] for i in taken)
+        return single, sorted(tuple("" if v is None else str(v) for v in r) for r in rows)
+
+    order, found = returned()
+    monkeypatch.setattr(curriculum, "SLOPES", (-0.9, 0.9, 0.0))
+    other, same = returned()
+    assert order != other and found == same

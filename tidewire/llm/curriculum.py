@@ -124,21 +124,53 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     The copy in which a source reaches its target holds the first words that the mix still takes. The plan has no texts; it is
     joined with the distinct rows, and only the range sort moves texts again.
     """
-    a, b, copy, position_name = (free_name(docs, c) for c in ("k1", "k2", "copy", "position"))
+    copies = settled(lambda: _copies(_plan(docs, key, text, source)), "mix-copies")
+    copy, position_name = free_name(docs, "copy"), free_name(docs, "position")
+    rows = _cut(docs, copies, text, copy)
+    rows = rows.repartitionByRange(F.col(copy)["position"], F.col(key)).sortWithinPartitions(F.col(copy)["position"], F.col(key))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(copy)["position"].alias(position_name))
+
+
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(key, size, source_size, target, taken, position) of each document: ``taken`` is counted in the texts of its copies in the
+    mix, and rows stand in the order of training, each where its first copy does, those that the mix leaves out last."""
+
+    def counted() -> DataFrame:
+        plan = _plan(docs, key, text, source)
+        copies = saved(_copies(plan), "mix-copies")
+        rows = _cut(docs, copies, text, "copy").select("copy.row", n_words(F.col(text)).alias("words"), "copy.position")
+        found = rows.groupBy("row").agg(F.sum("words").alias("taken"), F.min("position").alias("position"))
+        made = plan.select("row", F.col("key").alias(key), "size", "source_size", "target").join(found, "row", "left")
+        return made.select(key, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "position")
+
+    order = [F.col("position").asc_nulls_last(), F.col(key)]
+    return settled(counted, "mix-digests").repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _plan(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """(row, k1, k2, key, size, source_size, target, copies) of each row, written: ``copies`` has the words and position of each."""
     k1, k2 = row_keys(docs)
-    keyed = docs.withColumn(a, k1).withColumn(b, k2)
+    size, order = n_words(F.col(text)).alias("size"), hashed(F.col(key), F.col(text)).alias("order")
+    sizes = docs.select(F.monotonically_increasing_id().alias("row"), k1.alias("k1"), k2.alias("k2"), F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), size, order)
+    sizes = saved(sizes, "mix-sizes")  # so that each row keeps its number
+    plan, n = scheduled(sizes, "size", "order", "source", digits(sizes.count()))
+    taken = F.filter(F.arrays_zip(F.col(n["passes"]).alias("words"), F.col(n["positions"]).alias("position")), lambda c: c["words"] > 0)
+    return saved(plan.select("row", "k1", "k2", "key", "size", "source_size", "target", taken.alias("copies")), "mix-rows")
 
-    def planned_copies() -> DataFrame:
-        sizes = saved(keyed.select(F.col(a), F.col(b), F.col(f"`{source}`").alias("source"), n_words(F.col(text)).alias("size"), hashed(F.col(key), F.col(text)).alias("order")), "mix-sizes")
-        plan, n = scheduled(sizes, "size", "order", "source", digits(sizes.count()))
-        taken = F.filter(F.arrays_zip(F.col(n["passes"]).alias("words"), F.col(n["positions"]).alias("position")), lambda c: c["words"] > 0)
-        return plan.select(a, b, "size", F.explode(taken).alias("c")).select(a, b, F.struct("size", "c.words", "c.position").alias(copy))
 
-    copies = settled(planned_copies, "mix-copies")
-    rows = keyed.dropDuplicates([a, b]).join(copies, [a, b]).drop(a, b)
-    rows = rows.repartitionByRange(F.col(copy)["position"], F.col(key)).sortWithinPartitions(F.col(copy)["position"], F.col(key))
+def _copies(plan: DataFrame) -> DataFrame:
+    """(k1, k2, copy) of each copy that the mix takes of a row."""
+    return plan.select("row", "k1", "k2", "size", F.explode("copies").alias("c")).select("k1", "k2", F.struct("row", "size", "c.words", "c.position").alias("copy"))
+
+
+def _cut(docs: DataFrame, copies: DataFrame, text: str, copy_name: str) -> DataFrame:
+    """The row of each copy with the text that it holds, in no order."""
+    a, b = free_name(docs, "k1"), free_name(docs, "k2")
+    k1, k2 = row_keys(docs)
+    rows = docs.withColumn(a, k1).withColumn(b, k2).dropDuplicates([a, b])
+    rows = rows.join(copies.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("copy").alias(copy_name)), [a, b]).drop(a, b)
+    copy = F.col(copy_name)
     pieces = F.split(F.col(text), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # each word with the white space after it
     leading = F.when(F.col(text).rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col(copy)["words"].cast("int") + leading), "")
-    cut = F.when(F.col(copy)["words"] == F.col(copy)["size"], F.col(text)).otherwise(cut)
-    return rows.select(*[(cut.alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns], F.col(copy)["position"].alias(position_name))
+    cut = F.array_join(F.slice(pieces, F.lit(1), copy["words"].cast("int") + leading), "")
+    return rows.withColumn(text, F.when(copy["words"] == copy["size"], F.col(text)).otherwise(cut))
