@@ -71,3 +71,28 @@ def test_crowded_buckets(spark):
         tail = [f"y{i}_{k}" for k in range(60)] if i % 2 else [f"y{i - 1}_{k}" for k in range(59)] + ["z"]
         texts[i] = " ".join(body + tail)
     assert stays(spark, texts) == left_by_hand(texts)
+
+
+def test_pigeonring_first_and_nothing_lost(spark, monkeypatch):
+    """Candidates come from pigeonring over SimHash fingerprints; with none of them, and with buckets of every size and order, the
+    exact pass still finds the same."""
+    rng, texts = random.Random(7), {}
+    for i in range(240):
+        body = [f"w{rng.randrange(3000)}" for _ in range(100)] if i % 12 == 0 else list(body)
+        body[rng.randrange(5, 95)] = f"x{i}"
+        texts[i] = " ".join(body + [f"common{k}" for k in range(20)])
+    texts |= {1000 + i: " ".join(f"common{k}" for k in range(i % 3, 18 + i % 4)) for i in range(12)}
+    expected, links, seen = left_by_hand(texts), simhash.links, []
+
+    def spy(nodes, *rest):
+        found = links(nodes, *rest)
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "links", spy)
+    assert stays(spark, texts) == expected
+    assert len(seen) == 1 and seen[0] > 0
+    monkeypatch.setattr(simhash, "links", lambda nodes, *rest: links(nodes, *rest).limit(0))
+    for name, value in (("CROWDED", 2), ("FREQUENT", 0), ("SPREAD", 3)):
+        monkeypatch.setattr(simhash, name, value)
+    assert stays(spark, texts) == expected

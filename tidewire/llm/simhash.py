@@ -33,28 +33,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.components import components
-from tidewire.llm.shared import free_name, saved, settled
+from tidewire.llm.shared import forget, free_name, saved, settled
 
 #: Words of a shingle, and bits in which linked fingerprints differ at most.
 WORDS, TAU = 3, 2
 #: Words of a shingle of ``one_of_each``, and the Jaccard similarity (a fraction) from which it links texts.
 SHINGLE, SIMILAR = 5, (4, 5)
-#: Values by which its candidates meet, and minima in each; and the multipliers and addends of the minima's orders.
-BANDS, ROWS = 16, 4
-TIMES = np.random.default_rng(42).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-PLUS = np.random.default_rng(43).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 #: Fingerprints of a bucket that are still compared pair by pair.
 CROWDED = 64
-#: Minima in whose low four bits two texts may differ at most to be compared over their sets. At a similarity of 0.8 each differs
-#: with a chance of 0.19, and more than 26 of 64 do for 2 in 100,000 pairs; at one of 0.5, half of the pairs go.
-APART = 26
-#: Bands by which a crowded bucket is split: those that follow its own, on a ring. Of pairs at a similarity of 0.8 that meet in
-#: crowded buckets alone, 0.004 share no two bands so near each other.
-FURTHER = 5
+#: Shingles that ``one_of_each`` puts last in its order, the most frequent of those in over ``CROWDED`` texts; the order bounds
+#: how many pairs are compared, and has no say in which are linked.
+FREQUENT = 1 << 17
+#: One in so many texts is counted for that order.
+COUNTED = 8
+#: Bits over which two sets are told apart before they are compared.
+PARITY = 1024
 #: One in so many of the pairs is compared before the others.
 EARLY = 5
-#: Members of a block in a bucket that stays crowded after its split.
-BLOCKED = 16
+#: Members of a bucket that one task pairs with all others; larger buckets are spread.
+SPREAD = 1000
 #: Shingles whose bits are counted at a time, which bounds memory for long texts.
 BLOCK = 1 << 16
 
@@ -170,136 +167,166 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(31)))
 
 
-def bands(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A value for each of ``BANDS`` groups of ``ROWS`` minima over the shingles, of which two texts share one with the chance
-    similarity to the power of ROWS; and the low four bits of each minimum, sixteen of them in a number."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype="<u8")
-    for at in range(0, len(found), 1 << 13):
-        least = np.minimum(least, (found[None, at : at + (1 << 13)] * TIMES[:, None] + PLUS[:, None]).min(axis=1))
-    low = ((least & np.uint64(15)).reshape(-1, 16) << np.arange(0, 64, 4, dtype="<u8")).sum(axis=1, dtype="<u8").view("<i8")
-    least, out = least.reshape(BANDS, ROWS), np.arange(1, BANDS + 1, dtype="<u8")
-    for r in range(ROWS):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + least[:, r]
-    return (out ^ (out >> np.uint64(31))).view("<i8"), low
+def fingerprint_of_set(found: np.ndarray) -> int:
+    """The fingerprint over the hashes of a set of shingles, as a signed 64-bit integer."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(found), BLOCK):
+        ones += np.unpackbits(found[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
 
 
-def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """Those of ``pairs`` (u, v) of nodes whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more, by the sets themselves."""
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether a set has an odd number of hashes of each value of their low bits: ``PARITY`` bits, as signed 64-bit integers."""
+    odd = np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
-    @F.pandas_udf("array<long>")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield pd.Series([shingles(t).view("<i8") for t in part])
 
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = nodes.join(ends, "node").select("node", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2"))
-    texts = docs.select(F.col(text).alias("text"), *[k.alias(n) for n, k in zip(("k1", "k2"), _row_keys(key, text))])
-    sets = saved(texts.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", of(F.col("text")).alias("set")), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+def similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v) of ``nodes`` (node, n, odd, set) whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more.
+
+    Each hash that only one of two sets has changes one parity, so sets whose parities differ in more bits than similar sets of
+    their sizes have other hashes can't be similar, and aren't fetched.
+    """
     above, below = SIMILAR  # common / (a + b - common) >= above / below, in whole numbers
+    side = lambda c, at: nodes.select(F.col("node").alias(at), F.struct("n", "odd").alias(c))
+    apart = F.aggregate(F.zip_with("a.odd", "b.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = pairs.join(side("a", "u"), "u").join(side("b", "v"), "v").filter((above + below) * apart <= (below - above) * (F.col("a.n") + F.col("b.n")))
+    pairs = saved(near.select("u", "v"), "near")
+    ends = saved(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), "ends")  # written, so that Spark knows its size
+    sets = saved(nodes.join(ends, "node", "left_semi").select("node", "set"), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
     enough = (above + below) * F.size(F.array_intersect("a", "b")) >= above * (F.size("a") + F.size("b"))
-    return saved(both.filter(enough).select("u", "v"), "similar")
+    out = saved(both.filter(enough).select("u", "v"), "similar")
+    for table in (pairs, ends, sets):
+        forget(table)
+    return out
 
 
 def _row_keys(key: str, text: str) -> tuple[Column, Column]:
     return F.xxhash64(F.col(key), F.col(text)), F.xxhash64(F.lit(1), F.col(text), F.col(key))
 
 
-def _sizes_allow(a: Column, b: Column) -> Column:
-    return F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0]
+def _pigeonring_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v) of ``nodes`` (node, fp) whose fingerprints are equal or linked, enough of them to connect all such."""
+    first = saved(nodes.groupBy("fp").agg(F.min("node").alias("first")), "first")
+    equal = nodes.join(first, "fp").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    side = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    linked = links(first.select(F.lit(0).alias("f"), "fp")).select("u", "v").join(side("u"), "u").join(side("v"), "v")
+    return equal.union(linked.select(F.greatest("first_u", "first_v"), F.least("first_u", "first_v"))).distinct()
+
 
+def _prefixes(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, n, at): each of ``nodes`` (node, n, set) under the first shingles of its set, in an order of all shingles.
 
-def _open(posted: DataFrame) -> DataFrame:
-    """``posted`` (bucket, node, n, root) in buckets of several roots, with members and the first of them in an order of the bucket's own."""
-    order = F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "n", "root")
-    sizes = posted.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(order).alias("hub")).filter("low <> high")
-    return saved(posted.join(saved(sizes.select("bucket", "members", "hub"), "buckets"), "bucket"), "open")
+    Two sets of a similarity of 4/5 or more share at least 4/5 of either, so the first shingle that they share stands among the
+    first ``n - ceil(4 n / 5) + 1`` of both. That holds in any order that is the same for all sets: here frequent shingles come
+    last, by counts over one in ``COUNTED`` texts, and the others by their hash. Shingles under which a single node stands are left out.
+    """
+    counts = nodes.filter(F.pmod("node", F.lit(COUNTED)) == 0).select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * COUNTED > CROWDED)
+    frequent = [r["s"] for r in counts.orderBy(F.desc("n"), "s").limit(FREQUENT).collect()]
+    hashes = np.array(frequent, dtype="<i8")
+    by_hash = np.argsort(hashes)
+    known = nodes.sparkSession.sparkContext.broadcast((hashes[by_hash], len(hashes) - by_hash))  # the more frequent, the later
+    above, below = SIMILAR
+
+    @F.pandas_udf("array<long>")
+    def of(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes, ranks = known.value
 
+        def prefix(s: np.ndarray) -> np.ndarray:
+            length = len(s) + (-above * len(s)) // below + 1
+            if not len(hashes):
+                return s[:length]
+            at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+            return s[np.argsort(np.where(hashes[at] == s, ranks[at], 0), kind="stable")][:length]
 
-def _hub_pairs(opened: DataFrame) -> DataFrame:
-    ok = (F.col("root") != F.col("hub.root")) & _sizes_allow(F.col("n"), F.col("hub.n"))
-    return opened.filter(ok).select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"))
+        for part in sets:
+            yield pd.Series([prefix(s) for s in part])
 
+    posted = saved(nodes.select("node", "n", F.posexplode(of("set")).alias("at", "bucket")), "postings")
+    shared = posted.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket")
+    out = saved(posted.join(shared, "bucket").select("bucket", "node", "n", "at"), "postings")
+    forget(posted)
+    return out
 
-def _apart(a: Column, b: Column) -> Column:
-    """In how many minima two texts differ, by four bits of each."""
-    total = F.lit(0)
-    for i in range(BANDS * ROWS // 16):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        for shift in (1, 2):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
 
+def _may_be_similar(a: str, b: str) -> Column:
+    """Whether two sets can be similar if what they share begins at this shingle: by their sizes, and by what follows it in both."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    left = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
+    return (F.least(n, m) * SIMILAR[1] >= F.greatest(n, m) * SIMILAR[0]) & (left * sum(SIMILAR) >= (n + m) * SIMILAR[0])
 
-def _all_pairs(rows: DataFrame, nodes: DataFrame, on: list[str]) -> DataFrame:
-    rows = rows.join(nodes.select("node", "low"), "node")
-    a, b = rows.alias("a"), rows.alias("b")
-    meet = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
-    ok = (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _sizes_allow(F.col("a.n"), F.col("b.n"))
-    ok = ok & (_apart(F.col("a.low"), F.col("b.low")) <= APART)
-    return a.join(b, meet).filter(ok).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+def _open(posted: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, members, hub, a): the members of the buckets of ``posted`` in which several of the groups ``roots`` meet, and a first one
+    of each bucket, in an order of its own."""
+    rooted = posted.join(roots.select(F.col("u").alias("node"), "root"), "node", "left")
+    rooted = rooted.select("bucket", F.struct("node", "n", "at", F.coalesce("root", "node").alias("root")).alias("a"))
+    order = F.struct(F.xxhash64("a.node", "bucket").alias("h"), "a.node", "a.n", "a.at", "a.root")
+    sizes = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("a.root").alias("low"), F.max("a.root").alias("high"), F.min(order).alias("hub"))
+    return rooted.join(sizes.filter("low <> high").drop("low", "high"), "bucket")
+
+
+def _hub_pairs(opened: DataFrame) -> DataFrame:
+    ok = (F.col("a.root") != F.col("hub.root")) & _may_be_similar("a", "hub")
+    return opened.filter(ok).select(F.greatest("a.node", "hub.node").alias("u"), F.least("a.node", "hub.node").alias("v")).distinct()
 
 
-def _rooted(posted: DataFrame, roots: DataFrame) -> DataFrame:
-    """``posted`` with the root of each node over the links found so far."""
-    return posted.join(roots.select(F.col("u").alias("node"), "root"), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+def _all_pairs(opened: DataFrame) -> DataFrame:
+    """The pairs of members of each bucket that belong to different groups and may be similar; large buckets are met by several tasks."""
+    parts = F.ceil(F.col("members") / SPREAD)
+    left = opened.select("bucket", F.pmod(F.xxhash64("a.node"), parts).alias("part"), "a")
+    right = opened.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("a").alias("b"))
+    ok = (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _may_be_similar("a", "b")
+    return left.join(right, ["bucket", "part"]).filter(ok).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, key: str, text: str, crowded: int = CROWDED) -> DataFrame:
-    """(u, v): links of similarity ``SIMILAR`` or more between ``nodes`` (node, n, bands, row), that connect all which share a bucket.
+def similar_links(nodes: DataFrame) -> DataFrame:
+    """(u, v): links of similarity ``SIMILAR`` or more between ``nodes`` (node, n, fp, set), that connect all which are linked.
 
-    First each node meets the first one of each of its buckets. What is connected then needs no more pairs; buckets that still
-    hold several groups compare their members pair by pair. Those with over ``crowded`` members are split by the bands that
-    follow theirs first, and what is crowded even then meets in blocks, besides the first.
+    The SimHash candidates come first: fingerprints within ``TAU`` bits, by pigeonring. What they leave open is found over the
+    first shingles of the sets: each node meets the first one of each of its buckets, and then, in the buckets that still hold
+    several groups, all members of other groups.
     """
-    posted = saved(nodes.filter("n > 0").select("node", "n", F.explode("bands").alias("bucket")), "postings")
-    first = _hub_pairs(_open(posted.withColumn("root", F.col("node")))).distinct()
-    found = similar(saved(first, "candidates"), docs, nodes, key, text)
-    opened = _open(_rooted(posted, components(found)))
-    crowd = opened.filter(F.col("members") > crowded).select(F.col("bucket").alias("b"), "node", "n", "root")
-    own = crowd.join(nodes.select("node", "bands"), "node").withColumn("at", F.array_position("bands", F.col("b")).cast("int"))
-    further = F.transform(F.sequence(F.lit(0), F.lit(FURTHER - 1)), lambda i: F.get("bands", (F.col("at") + i) % BANDS))
-    both = own.select("b", "node", "n", "root", F.explode(further).alias("c"))
-    again = _open(both.select(F.xxhash64(F.least("b", "c"), F.greatest("b", "c")).alias("bucket"), "node", "n", "root").distinct())
-    blocks = again.filter(F.col("members") > crowded).withColumn("block", F.pmod(F.xxhash64("bucket", "node"), F.ceil(F.col("members") / BLOCKED)))
-    pairs = _all_pairs(opened.filter(F.col("members") <= crowded), nodes, ["bucket"]).union(_all_pairs(again.filter(F.col("members") <= crowded), nodes, ["bucket"]))
-    pairs = pairs.union(_all_pairs(blocks, nodes, ["bucket", "block"])).union(_hub_pairs(blocks)).distinct().join(first, ["u", "v"], "left_anti")
-    pairs = saved(pairs, "candidates")
-    # Of crowded groups a part of the pairs connects most members; the other pairs inside what is connected then can go.
+    nodes = nodes.filter("n > 0")
+    found = similar(saved(_pigeonring_pairs(nodes), "candidates"), nodes)
+    posted = _prefixes(nodes)
+    first = saved(_hub_pairs(_open(posted, components(found))), "candidates")
+    found = saved(found.union(similar(first, nodes)), "links")
+    pairs = saved(_all_pairs(saved(_open(posted, components(found)).drop("hub"), "open")).join(first, ["u", "v"], "left_anti"), "candidates")
+    # Of large groups a part of the pairs connects most members; the other pairs inside what is connected then can go.
     early = F.pmod(F.xxhash64("u", "v"), F.lit(EARLY)) == 0
-    found = saved(found.union(similar(pairs.filter(early), docs, nodes, key, text)), "links")
+    found = saved(found.union(similar(pairs.filter(early), nodes)), "links")
     roots = components(found)
     side = lambda c: roots.select(F.col("u").alias(c), F.col("root").alias(f"root_{c}"))
     late = pairs.filter(~early).join(side("u"), "u", "left").join(side("v"), "v", "left")
     late = late.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
-    return found.union(similar(saved(late, "candidates"), docs, nodes, key, text))
+    return found.union(similar(saved(late, "candidates"), nodes))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the least id.
 
-    Two texts are linked if the Jaccard similarity of their sets of 5-word shingles is 0.8 or more. Candidates share one of
-    ``BANDS`` values of ``ROWS`` minima (at a similarity of 0.8 all but 0.0003 of them do); those that differ in too many minima
-    (at 0.8, 0.00002 of them) go, and every link is checked over the sets. Texts with equal sets are one node; those without a word are all equal.
+    Two texts are linked if the Jaccard similarity of their sets of 5-word shingles is 0.8 or more. Candidates are those whose
+    SimHash fingerprints pigeonring links, and for the rest those that share one of the first shingles of their sets, which loses
+    no link; each is checked over the sets. Texts with equal sets are one node; those without a word are all equal.
     """
 
-    @F.pandas_udf("struct<node: long, n: long, bands: array<long>, low: array<long>>")
+    @F.pandas_udf("struct<node: long, n: long, fp: long, odd: array<long>, set: array<long>>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             sets = [shingles(t) for t in part]
-            made = [(xxhash.xxh3_64_intdigest(s.tobytes()), len(s), *bands(s)) for s in sets]
-            yield pd.DataFrame({"node": np.array([m[0] for m in made], dtype="<u8").view("<i8"), "n": [m[1] for m in made], "bands": [m[2] for m in made], "low": [m[3] for m in made]})
+            names = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype="<u8").view("<i8")
+            yield pd.DataFrame({"node": names, "n": [len(s) for s in sets], "fp": [fingerprint_of_set(s) for s in sets], "odd": [parities(s) for s in sets], "set": [s.view("<i8") for s in sets]})
 
     k1, k2 = _row_keys(key, text)
     a, b = free_name(docs, "k1"), free_name(docs, "k2")
 
     def chosen() -> DataFrame:
         """(k1, k2) of the row with the least id of each group."""
-        base = docs.select(F.struct(F.col(key).alias("key"), k1.alias("k1"), k2.alias("k2")).alias("row"), of(F.col(text)).alias("p"))
-        base = saved(base.select("row", "p.*"), "fingerprints")
-        nodes = saved(base.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.min("row").alias("row")), "nodes")
-        roots = components(similar_links(docs, nodes, key, text))
+        base = docs.select(F.struct(F.col(key).alias("key"), k1.alias("k1"), k2.alias("k2")).alias("row"), of(F.col(text)).alias("p")).select("row", "p.*")
+        nodes = saved(base.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "odd", "set")], F.min("row").alias("row")), "nodes")
+        roots = components(similar_links(nodes))
         grouped_rows = nodes.join(roots, nodes["node"] == roots["u"], "left").select("row", F.coalesce("root", "node").alias("root"))
         kept = grouped_rows.groupBy("root").agg(F.min("row").alias("row"))
         return kept.select(F.col("row.k1").alias(a), F.col("row.k2").alias(b))
