@@ -96,3 +96,25 @@ def test_pigeonring_first_and_nothing_lost(spark, monkeypatch):
     for name, value in (("CROWDED", 2), ("FREQUENT", 0), ("SPREAD", 3)):
         monkeypatch.setattr(simhash, name, value)
     assert stays(spark, texts) == expected
+
+
+def test_sets_are_made_for_candidates_alone(spark, monkeypatch):
+    """No table holds the sets of all texts, which take more room than the texts; copies in many rows change nothing."""
+    rng, texts = random.Random(8), {}
+    for i in range(200):
+        texts[i] = " ".join(f"w{rng.randrange(100_000)}" for _ in range(100))
+    for i in range(200, 240):
+        texts[i] = texts[i % 7]  # copies
+    texts[300] = " ".join([*texts[0].split()[:-1], "other"])
+    texts[301] = " ".join(["other", *texts[8].split()[1:]])
+    saved, held = simhash.saved, []
+
+    def spy(df, name):
+        out = saved(df, name)
+        if any(kind == "array<bigint>" and c != "odd" for c, kind in out.dtypes):
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "saved", spy)
+    assert stays(spark, texts) == left_by_hand(texts)
+    assert held and max(held) <= 4

@@ -181,19 +181,36 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (u, v) of ``nodes`` (node, n, odd, set) whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more.
+def set_names(sets: list[np.ndarray]) -> np.ndarray:
+    """64 bits that tell sets of shingles apart."""
+    return np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype="<u8").view("<i8")
+
+
+def shingle_sets(text: Column) -> Column:
+    """The set of shingles of each text, in Arrow batches."""
+
+    @F.pandas_udf("array<long>")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield pd.Series([shingles(t).view("<i8") for t in part])
+
+    return of(text)
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v) of ``nodes`` (node, n, odd, row) whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more.
 
     Each hash that only one of two sets has changes one parity, so sets whose parities differ in more bits than similar sets of
-    their sizes have other hashes can't be similar, and aren't fetched.
+    their sizes have other hashes can't be similar. Sets are made for the others alone, from the texts of ``rows`` (k1, k2, text).
     """
     above, below = SIMILAR  # common / (a + b - common) >= above / below, in whole numbers
     side = lambda c, at: nodes.select(F.col("node").alias(at), F.struct("n", "odd").alias(c))
     apart = F.aggregate(F.zip_with("a.odd", "b.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     near = pairs.join(side("a", "u"), "u").join(side("b", "v"), "v").filter((above + below) * apart <= (below - above) * (F.col("a.n") + F.col("b.n")))
     pairs = saved(near.select("u", "v"), "near")
-    ends = saved(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), "ends")  # written, so that Spark knows its size
-    sets = saved(nodes.join(ends, "node", "left_semi").select("node", "set"), "shingles")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    ends = saved(nodes.join(ends, "node", "left_semi").select("node", "row.k1", "row.k2"), "ends")  # written, so that Spark knows its size
+    sets = saved(rows.join(ends, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", shingle_sets(F.col("text")).alias("set")), "shingles")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
     enough = (above + below) * F.size(F.array_intersect("a", "b")) >= above * (F.size("a") + F.size("b"))
     out = saved(both.filter(enough).select("u", "v"), "similar")
@@ -215,22 +232,23 @@ def _pigeonring_pairs(nodes: DataFrame) -> DataFrame:
     return equal.union(linked.select(F.greatest("first_u", "first_v"), F.least("first_u", "first_v"))).distinct()
 
 
-def _prefixes(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, n, at): each of ``nodes`` (node, n, set) under the first shingles of its set, in an order of all shingles.
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """(bucket, node, n, at): the node of each text of ``rows`` (text) under the first shingles of its set, in an order of all shingles.
 
     Two sets of a similarity of 4/5 or more share at least 4/5 of either, so the first shingle that they share stands among the
     first ``n - ceil(4 n / 5) + 1`` of both. That holds in any order that is the same for all sets: here frequent shingles come
     last, by counts over one in ``COUNTED`` texts, and the others by their hash. Shingles under which a single node stands are left out.
     """
-    counts = nodes.filter(F.pmod("node", F.lit(COUNTED)) == 0).select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * COUNTED > CROWDED)
+    counted = rows.filter(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0).select("text").distinct()
+    counts = counted.select(F.explode(shingle_sets(F.col("text"))).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * COUNTED > CROWDED)
     frequent = [r["s"] for r in counts.orderBy(F.desc("n"), "s").limit(FREQUENT).collect()]
     hashes = np.array(frequent, dtype="<i8")
     by_hash = np.argsort(hashes)
-    known = nodes.sparkSession.sparkContext.broadcast((hashes[by_hash], len(hashes) - by_hash))  # the more frequent, the later
+    known = rows.sparkSession.sparkContext.broadcast((hashes[by_hash], len(hashes) - by_hash))  # the more frequent, the later
     above, below = SIMILAR
 
-    @F.pandas_udf("array<long>")
-    def of(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<node: long, n: long, prefix: array<long>>")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes, ranks = known.value
 
         def prefix(s: np.ndarray) -> np.ndarray:
@@ -240,12 +258,14 @@ def _prefixes(nodes: DataFrame) -> DataFrame:
             at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
             return s[np.argsort(np.where(hashes[at] == s, ranks[at], 0), kind="stable")][:length]
 
-        for part in sets:
-            yield pd.Series([prefix(s) for s in part])
+        for part in texts:
+            sets = [shingles(t) for t in part]
+            yield pd.DataFrame({"node": set_names(sets), "n": [len(s) for s in sets], "prefix": [prefix(s.view("<i8")) for s in sets]})
 
-    posted = saved(nodes.select("node", "n", F.posexplode(of("set")).alias("at", "bucket")), "postings")
-    shared = posted.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket")
-    out = saved(posted.join(shared, "bucket").select("bucket", "node", "n", "at"), "postings")
+    posted = saved(rows.select(of("text").alias("p")).select("p.node", "p.n", F.posexplode("p.prefix").alias("at", "bucket")), "postings")
+    # Copies are posted once for each row until here, and are one node.
+    shared = posted.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("bucket")
+    out = saved(posted.join(shared, "bucket").select("bucket", "node", "n", "at").distinct(), "postings")
     forget(posted)
     return out
 
@@ -281,27 +301,28 @@ def _all_pairs(opened: DataFrame) -> DataFrame:
     return left.join(right, ["bucket", "part"]).filter(ok).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
-def similar_links(nodes: DataFrame) -> DataFrame:
-    """(u, v): links of similarity ``SIMILAR`` or more between ``nodes`` (node, n, fp, set), that connect all which are linked.
+def similar_links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(u, v): links of similarity ``SIMILAR`` or more between ``nodes`` (node, n, fp, odd, row) of the texts of ``rows`` (k1, k2, text),
+    that connect all which are linked.
 
     The SimHash candidates come first: fingerprints within ``TAU`` bits, by pigeonring. What they leave open is found over the
     first shingles of the sets: each node meets the first one of each of its buckets, and then, in the buckets that still hold
     several groups, all members of other groups.
     """
     nodes = nodes.filter("n > 0")
-    found = similar(saved(_pigeonring_pairs(nodes), "candidates"), nodes)
-    posted = _prefixes(nodes)
+    found = similar(saved(_pigeonring_pairs(nodes), "candidates"), nodes, rows)
+    posted = _prefixes(rows)
     first = saved(_hub_pairs(_open(posted, components(found))), "candidates")
-    found = saved(found.union(similar(first, nodes)), "links")
+    found = saved(found.union(similar(first, nodes, rows)), "links")
     pairs = saved(_all_pairs(saved(_open(posted, components(found)).drop("hub"), "open")).join(first, ["u", "v"], "left_anti"), "candidates")
     # Of large groups a part of the pairs connects most members; the other pairs inside what is connected then can go.
     early = F.pmod(F.xxhash64("u", "v"), F.lit(EARLY)) == 0
-    found = saved(found.union(similar(pairs.filter(early), nodes)), "links")
+    found = saved(found.union(similar(pairs.filter(early), nodes, rows)), "links")
     roots = components(found)
     side = lambda c: roots.select(F.col("u").alias(c), F.col("root").alias(f"root_{c}"))
     late = pairs.filter(~early).join(side("u"), "u", "left").join(side("v"), "v", "left")
     late = late.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
-    return found.union(similar(saved(late, "candidates"), nodes))
+    return found.union(similar(saved(late, "candidates"), nodes, rows))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,23 +331,24 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Two texts are linked if the Jaccard similarity of their sets of 5-word shingles is 0.8 or more. Candidates are those whose
     SimHash fingerprints pigeonring links, and for the rest those that share one of the first shingles of their sets, which loses
     no link; each is checked over the sets. Texts with equal sets are one node; those without a word are all equal.
+    Sets take more room than texts, so they aren't kept: ``docs`` is read again where they are needed.
     """
 
-    @F.pandas_udf("struct<node: long, n: long, fp: long, odd: array<long>, set: array<long>>")
+    @F.pandas_udf("struct<node: long, n: long, fp: long, odd: array<long>>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             sets = [shingles(t) for t in part]
-            names = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype="<u8").view("<i8")
-            yield pd.DataFrame({"node": names, "n": [len(s) for s in sets], "fp": [fingerprint_of_set(s) for s in sets], "odd": [parities(s) for s in sets], "set": [s.view("<i8") for s in sets]})
+            yield pd.DataFrame({"node": set_names(sets), "n": [len(s) for s in sets], "fp": [fingerprint_of_set(s) for s in sets], "odd": [parities(s) for s in sets]})
 
     k1, k2 = _row_keys(key, text)
     a, b = free_name(docs, "k1"), free_name(docs, "k2")
 
     def chosen() -> DataFrame:
         """(k1, k2) of the row with the least id of each group."""
-        base = docs.select(F.struct(F.col(key).alias("key"), k1.alias("k1"), k2.alias("k2")).alias("row"), of(F.col(text)).alias("p")).select("row", "p.*")
-        nodes = saved(base.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "odd", "set")], F.min("row").alias("row")), "nodes")
-        roots = components(similar_links(nodes))
+        rows = docs.select(F.col(key).alias("key"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
+        base = rows.select(F.struct("key", "k1", "k2").alias("row"), of("text").alias("p")).select("row", "p.*")
+        nodes = saved(base.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "odd")], F.min("row").alias("row")), "nodes")
+        roots = components(similar_links(nodes, rows.select("k1", "k2", "text")))
         grouped_rows = nodes.join(roots, nodes["node"] == roots["u"], "left").select("row", F.coalesce("root", "node").alias("root"))
         kept = grouped_rows.groupBy("root").agg(F.min("row").alias("row"))
         return kept.select(F.col("row.k1").alias(a), F.col("row.k2").alias(b))
